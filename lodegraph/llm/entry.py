@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from lodegraph.llm.fingerprint import op7_fingerprint
 from lodegraph.llm.mixing import op3_mixing
 from lodegraph.llm.sharding import op2_sharding
 
-_QUERIES = (op2_sharding, op3_mixing)
+_QUERIES = (op2_sharding, op3_mixing, op7_fingerprint)
 
 #: DuckDB SQL of the queries that SQL can express.
 _ORACLES: dict[str, str] = {}
