@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from lodegraph.llm.fingerprint import op7_fingerprint
 from lodegraph.llm.mixing import op3_mixing
+from lodegraph.llm.quality import op8_quality
 from lodegraph.llm.sharding import op2_sharding
+from lodegraph.llm.toxicity import op1_toxicity
 
-_QUERIES = (op2_sharding, op3_mixing, op7_fingerprint)
+_QUERIES = (op1_toxicity, op2_sharding, op3_mixing, op7_fingerprint, op8_quality)
 
 #: DuckDB SQL of the queries that SQL can express.
 _ORACLES: dict[str, str] = {}
