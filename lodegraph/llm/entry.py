@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from lodegraph.llm.fingerprint import op7_fingerprint
 from lodegraph.llm.mixing import op3_mixing
+from lodegraph.llm.pii import op6_pii
 from lodegraph.llm.quality import op8_quality
+from lodegraph.llm.secrets import op10_secrets
 from lodegraph.llm.sharding import op2_sharding
 from lodegraph.llm.toxicity import op1_toxicity
 
-_QUERIES = (op1_toxicity, op2_sharding, op3_mixing, op7_fingerprint, op8_quality)
+_QUERIES = (op1_toxicity, op2_sharding, op3_mixing, op6_pii, op7_fingerprint, op8_quality, op10_secrets)
 
 #: DuckDB SQL of the queries that SQL can express.
 _ORACLES: dict[str, str] = {}
