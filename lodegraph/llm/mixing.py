@@ -133,3 +133,11 @@ def op3_mixing(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")))
     mixed = mix(sized, "doc_id", "source", "size", [5.0, 2.0, 1.0])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "placements")
+
+
+def mixed_copies(docs: DataFrame) -> DataFrame:
+    """docs, each row as often as op3_mixing takes it; rows that share an id are taken alike, as the least of them is."""
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")))
+    taken = mix(sized, "doc_id", "source", "size", [5.0, 2.0, 1.0]).groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
+    same = docs["doc_id"].cast("long").eqNullSafe(taken["_id"])
+    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
