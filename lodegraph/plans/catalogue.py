@@ -2,36 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodegraph.plans import activity_queries, document_queries, graph_queries, metric_queries, temporal_queries, vector_queries
+from lodegraph.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "degree_topk"
 
-from lodegraph.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "doc_status_dashboard"
-
-
-def query(name: str, oracle: str | None = None):
-    """Register a query under name, with its DuckDB SQL where there is one."""
-
-    def register(function):
-        QUERIES[name] = function
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return function
-
-    return register
-
-
-@query(
-    "doc_status_dashboard",
-    """SELECT source, lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest
-       FROM documents GROUP BY source, lang""",
-)
-def doc_status_dashboard(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(
-        F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest")
-    )
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "activity_queries", "document_queries", "graph_queries", "metric_queries", "temporal_queries", "vector_queries"]

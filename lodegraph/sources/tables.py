@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under sf_dir, read by Spark alone so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='lodegraph-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lodegraph-')}"
+    return _OWN[app]
 
 
 def written(frame: DataFrame, partitions: int | None = None) -> DataFrame:
