@@ -57,9 +57,10 @@ def off_hours(spark, sf_dir):
     return events(spark, sf_dir).where(A.off_hours(F.col("ts"))).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), i AS (SELECT *, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INT AS island FROM d) SELECT user_id, min(day) AS started, max(day) AS ended, count(*) AS days FROM i GROUP BY user_id, island")
+@query("WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), i AS (SELECT *, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INT AS island FROM d) SELECT user_id, min(day)::VARCHAR AS started, max(day)::VARCHAR AS ended, count(*) AS days FROM i GROUP BY user_id, island")
 def streaks(spark, sf_dir):
-    return A.streaks(events(spark, sf_dir), "user_id", "ts")
+    found = A.streaks(events(spark, sf_dir), "user_id", "ts")
+    return found.withColumns({c: F.col(c).cast("string") for c in ("started", "ended")})
 
 
 @query("WITH p AS (SELECT user_id, sum(CASE event_type WHEN 'purchase' THEN 50 WHEN 'signup' THEN 25 ELSE 10 END)::BIGINT AS points FROM events GROUP BY user_id) SELECT user_id, points, rank() OVER (ORDER BY points DESC) AS rank FROM p ORDER BY points DESC, user_id LIMIT 10")
@@ -69,10 +70,10 @@ def leaderboard(spark, sf_dir):
     return top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("points"))).cast("long"))  # ten rows
 
 
-@query("WITH d AS (SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT day, n, users, (sum(n) OVER (ORDER BY day))::BIGINT AS total FROM d")
+@query("WITH d AS (SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT day::VARCHAR AS day, n, users, (sum(n) OVER (ORDER BY day))::BIGINT AS total FROM d")
 def growth_daily(spark, sf_dir):
     d = events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
-    return d.withColumn("total", F.sum("n").over(Window.orderBy("day")))  # a row a day
+    return d.withColumn("total", F.sum("n").over(Window.orderBy("day"))).withColumn("day", F.col("day").cast("string"))  # a row a day
 
 
 @query("WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' WHEN n <= 50 THEN '26-50' ELSE '50+' END AS bin, count(*) AS parts, sum(n)::BIGINT AS mentions FROM c GROUP BY 1")

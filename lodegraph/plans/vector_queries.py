@@ -46,7 +46,7 @@ def rrf_fusion(spark, sf_dir):
 
 
 @query(
-    """WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS at FROM embeddings), c AS (SELECT label, list(x ORDER BY at) AS centroid FROM (SELECT label, at, avg(x) AS x FROM x GROUP BY label, at) GROUP BY label)
+    """WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place FROM embeddings), c AS (SELECT label, list(x ORDER BY place) AS centroid FROM (SELECT label, place, avg(x) AS x FROM x GROUP BY label, place) GROUP BY label)
     SELECT e.label, count(*) AS n, round(avg(list_cosine_similarity(e.embedding::DOUBLE[], c.centroid)), 6) AS coherence FROM embeddings e JOIN c USING (label) GROUP BY e.label"""
 )
 def centroid_coherence(spark, sf_dir):
