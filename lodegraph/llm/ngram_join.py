@@ -26,7 +26,9 @@ from lodegraph.sources.tables import written
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A list is long with more nodes than this, or more if there would be over MOST_LONG of them; they travel to all tasks.
-LONG, MOST_LONG = 200, 1_000_000
+LONG, MOST_LONG = 32, 1_000_000
+#: A node is at home with a hub from this similarity on, and blocks of nodes with one home hold so many at most.
+HOME, BLOCK = 0.4, 400
 #: Bits of the filter that keeps texts which no pair needs from being shuffled.
 FILTER_BITS = 1 << 23
 #: Nodes that a task remembers in order not to send copies again; forgetting only sends them twice.
@@ -129,11 +131,11 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, carriers: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of nodes whose sets are similar enough, counted exactly; b should be the one in many pairs."""
+    """(a, b, similarity) of pairs of nodes, counted exactly, and whether they link; b should be the one in many pairs."""
     named = pairs.join(carriers.select(F.col("node").alias("a"), F.col("doc_id").alias("doc_a")), "a").join(carriers.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_b")), "b")
     named = written(named)
     if not named.take(1):
-        return named.select("a", "b")
+        return named.select("a", "b", F.lit(0.0).alias("similarity"), F.lit(False).alias("linked"))
     texts = _texts(docs, named.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))
     both = named.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     both = both.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").select("a", "b", "text_a", "text_b")
@@ -149,16 +151,81 @@ def _verified(docs: DataFrame, pairs: DataFrame, carriers: DataFrame) -> DataFra
                     known.clear()
                     fresh = list(range(len(names)))
                 known.update(zip([names[i] for i in fresh], shingle_sets(batch.column("text_b").take(pa.array(fresh, type=pa.int64()))), strict=True))
-                keep = []
+                similar, linked = [], []
                 for mine, b in zip(shingle_sets(batch.column("text_a")), names, strict=True):
                     other = known[b]
                     few, many = (mine, other) if len(mine) <= len(other) else (other, mine)
                     at = np.searchsorted(many, few)  # a binary probe of the longer list for each shingle of the shorter
                     shared = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                    keep.append(100 * shared >= PERCENT * (len(mine) + len(other) - shared))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+                    similar.append(shared / (len(mine) + len(other) - shared))
+                    linked.append(100 * shared >= PERCENT * (len(mine) + len(other) - shared))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, type=pa.float64()), pa.array(linked, type=pa.bool_())], names=["a", "b", "similarity", "linked"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long, similarity double, linked boolean").distinct()
+
+
+def _homes(star: DataFrame, seen: DataFrame) -> DataFrame:
+    """(node, home, far): the hub that a node is near enough to be one of its copies, and its distance; hubs of hubs first."""
+    near = star.join(seen, (F.col("node") == F.col("a")) & (F.col("hub") == F.col("b"))).where(F.col("similarity") >= HOME)
+    own = written(near.groupBy("node").agg(F.max(F.struct("c", "hub", (1 - F.col("similarity")).alias("far"))).alias("h")).select("node", F.col("h.hub").alias("home"), "h.far"))
+    own = own.unionByName(own.select(F.col("home").alias("node")).distinct().join(own, "node", "left_anti").select("node", F.col("node").alias("home"), F.lit(0.0).alias("far")))
+    for _ in range(2):  # a hub that is itself a copy hands its copies on; how far they are is not known then
+        up = own.where("node <> home").select(F.col("node").alias("home"), F.col("home").alias("up"))
+        own = written(own.join(up, "home", "left").select("node", F.coalesce("up", "home").alias("home"), F.when(F.col("up").isNull(), F.col("far")).alias("far")))
+    return own
+
+
+def _in_blocks(docs: DataFrame, marked: DataFrame, carriers: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that share a home but not a component, from tasks of two blocks of BLOCK nodes at most.
+
+    Blocks hold one component or many; two of the same single component need no task, nor do two whose distances from
+    the hub differ by more than a link allows, for Jaccard distance is a metric, nor two of too different sizes.
+    """
+    nodes = marked.where("home IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"), F.min("c").alias("c"), F.min("home").alias("home"), F.min("far").alias("far"))
+    main = nodes.groupBy("home", "c").agg(F.count("*").alias("size")).groupBy("home").agg(F.max(F.struct("size", "c")).alias("m")).select("home", F.col("m.c").alias("main"))
+    kind = F.struct((F.col("c") == F.col("main")).alias("main"), F.coalesce(F.floor(F.col("far") * 20), F.lit(-1)).alias("far"))
+    nodes = written(nodes.join(main, "home").withColumn("kind", kind).drop("main"))
+    sizes = nodes.groupBy("home", "kind").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
+    nodes = written(nodes.join(sizes, ["home", "kind"]).withColumn("block", F.xxhash64("home", "kind", F.pmod(F.xxhash64("node"), "slices"))).drop("slices"))
+    blocks = nodes.groupBy("home", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("far").alias("f0"), F.max("far").alias("f1"))
+    blocks = written(blocks)
+    a, b = (blocks.select("home", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "n0", "n1", "c0", "c1", "f0", "f1")]) for side in "ab")
+    one = (F.col("c0_a") == F.col("c1_a")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0_a") == F.col("c0_b"))
+    gap = F.greatest(F.col("f0_a") - F.col("f1_b"), F.col("f0_b") - F.col("f1_a")) > (100 - PERCENT) / 100 + 1e-9
+    size = (F.col("n1_a") * 100 >= F.col("n0_b") * PERCENT) & (F.col("n1_b") * 100 >= F.col("n0_a") * PERCENT)
+    tasks = a.join(b, "home").where((F.col("block_a") <= F.col("block_b")) & ~one & size & ~F.coalesce(gap, F.lit(False)))
+    sides = tasks.select(F.xxhash64("block_a", "block_b").alias("task"), F.explode(F.when(F.col("block_a") == F.col("block_b"), F.array("block_a")).otherwise(F.array("block_a", "block_b"))).alias("block"))
+    sent = written(sides.join(nodes, "block").join(carriers, "node").select("task", "block", "node", "c", "doc_id"))
+    if not sent.take(1):
+        return sent.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    whole = sent.join(_texts(docs, sent.select("doc_id")), "doc_id").select("task", "block", "node", "c", "text")
+    return whole.groupBy("task").applyInArrow(_search, "a long, b long").distinct()
+
+
+def _search(table: pa.Table) -> pa.Table:
+    """T-occurrence search of each node of the first block among those of the second: list positions are counted for each
+    candidate, and candidates that reach the overlap which their sizes ask for are links."""
+    node, c, block = (np.array(table.column(x)) for x in ("node", "c", "block"))
+    sets = [x for chunk in table.column("text").chunks for x in shingle_sets(chunk)]
+    _, first = np.unique(node, return_index=True)  # rows that repeat an id repeat a text
+    order = first[np.argsort(block[first], kind="stable")]
+    left = order[block[order] == block[order].min()]
+    right = order[block[order] == block[order].max()]
+    tokens = np.concatenate([sets[i] for i in right])
+    owner = np.repeat(np.arange(len(right)), [len(sets[i]) for i in right])
+    by = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[by], owner[by]
+    sizes = np.array([len(sets[i]) for i in right])
+    out_a, out_b = [], []
+    for i in left:
+        low, high = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        spans = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+        shared = np.bincount(owner[at], minlength=len(right))
+        hit = np.flatnonzero((100 * shared >= PERCENT * (len(sets[i]) + sizes - shared)) & (c[right] != c[i]))
+        out_a.extend([node[i]] * len(hit))
+        out_b.extend(node[right[hit]])
+    return pa.table({"a": pa.array(out_a, type=pa.int64()), "b": pa.array(out_b, type=pa.int64())})
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -179,20 +246,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     long_lists = np.sort(np.array(counts.where(F.col("count") > limit).select("token").toArrow().column("token"), dtype=np.int64).view(np.uint64))
     rows = docs.mapInArrow(_prefixes(long_lists, False), shape).select("node", "n", F.explode("tokens").alias("token"))
     here = Window.partitionBy("token")
-    rows = rows.withColumn("pivot", F.min(F.struct("node", "n")).over(here)).withColumn("last", F.max("node").over(here)).where(F.col("pivot.node") < F.col("last"))
-    live = written(rows.select("token", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
-    star = live.where(F.col("node") != F.col("pivot")).where(_close(F.col("n"), F.col("m"))).groupBy("node", "pivot").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("m").alias("m"))
-    star = star.where(F.col("c") * 100 >= F.least("n", "m") * 5).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = written(_verified(docs, star, carriers))
+    live = rows.withColumns({"least": F.min("node").over(here), "most": F.max("node").over(here)}).where("least < most")
+    live = written(live.select("token", "node", "n"))
+    # the hub of a list is the node that shares most of its short lists: the text that near copies were made from
+    shared = live.groupBy("node").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+    shared = shared.select("node", (F.col("k") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).alias("score"))
+    star = live.join(shared, "node").withColumn("hub", F.max(F.struct("score", "node", "n")).over(here)).where(F.col("node") != F.col("hub.node"))
+    star = star.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("hub.n").alias("m"))
+    star = written(star.where(F.col("c") * 100 >= F.least("n", "m") * 5))
+    seen = written(_verified(docs, star.select(F.col("node").alias("a"), F.col("hub").alias("b")), carriers))
+    links = seen.where("linked").select("a", "b")
     classes = written(connected_components(links))
-    marked = live.select("token", "node", "n").distinct().join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    homes = written(_homes(star, seen))
+    marked = live.distinct().join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     several = marked.groupBy("token").agg((F.min("c") < F.max("c")).alias("open")).where("open").select("token")
-    marked = written(marked.join(several, "token"))
-    a, b = (marked.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "c")]) for side in "ab")
-    pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("node_a") < F.col("node_b")) & _close(F.col("n_a"), F.col("n_b")))
+    marked = written(marked.join(several, "token").join(homes, "node", "left"))
+    a, b = (marked.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "c", "home")]) for side in "ab")
+    # two that are at home with one hub are compared block by block, all others list by list
+    apart = ~F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))
+    pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("node_a") < F.col("node_b")) & _close(F.col("n_a"), F.col("n_b")) & apart)
     pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("c"), F.min("n_a").alias("n"), F.min("n_b").alias("m"))
     pairs = pairs.where(_reachable(F.col("c"), F.col("n"), F.col("m"))).select(F.col("node_b").alias("a"), F.col("node_a").alias("b"))
-    links = links.union(_verified(docs, pairs, carriers))
+    links = links.union(_verified(docs, pairs, carriers).where("linked").select("a", "b")).union(_in_blocks(docs, marked, carriers))
     links = written(links)
     classes = connected_components(links)
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
