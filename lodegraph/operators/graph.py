@@ -127,3 +127,33 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -
         if not fresh.where("old <> community").take(1):
             break
     return labels
+
+
+def betweenness(vertices: DataFrame, edges: DataFrame, sources: DataFrame, max_depth: int = 50) -> DataFrame:
+    """(id, score): undirected betweenness from shortest paths that start at sources (id); all vertices give the exact score.
+
+    Paths are counted level by level from all sources at once, dependencies are added up level by level on the way back,
+    each level a join and a sum. Scores are halved, and scaled by N / sources where only some vertices are sources.
+    """
+    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    levels = [written(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))]
+    seen = levels[0].select("s", "id")
+    while len(levels) <= max_depth:
+        step = levels[-1].join(both, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+        step = written(step.join(seen, ["s", "id"], "left_anti"))
+        if not step.take(1):
+            break
+        levels.append(step)
+        seen = seen.union(step.select("s", "id"))
+    delta, parts = levels[-1].withColumn("delta", F.lit(0.0)), []
+    for upper in reversed(levels[:-1]):
+        parts.append(delta)
+        below = delta.select("s", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        got = both.join(below, "dst").groupBy("s", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
+        delta = written(upper.join(got, ["s", "id"], "left").select("s", "id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")))
+    every = parts[0].select("s", "id", "delta") if parts else delta.select("s", "id", "delta")
+    for part in parts[1:]:
+        every = every.union(part.select("s", "id", "delta"))
+    total, used = vertices.count(), levels[0].count()
+    sums = every.where("s <> id").groupBy("id").agg((F.sum("delta") * (0.5 * total / max(used, 1))).alias("score"))
+    return vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -159,3 +159,11 @@ def label_communities(spark, sf_dir):
     e = edges(spark, sf_dir).where("type = 'PART_OF'")
     found = G.label_propagation(vertices(spark, sf_dir).where("type NOT IN ('orders', 'part')"), e)
     return found.groupBy("community").agg(F.count("*").alias("members"))
+
+
+@query()
+def betweenness_sampled(spark, sf_dir):
+    """Betweenness on the containment edges of regions, nations and suppliers, with regions and nations as sources."""
+    v = vertices(spark, sf_dir).where("type IN ('region', 'nation', 'supplier')").select("id", "type")
+    e = G.induced(edges(spark, sf_dir).where("type = 'PART_OF'"), v)
+    return G.betweenness(v, e, v.where("type <> 'supplier'")).withColumn("score", F.round("score", 6))
