@@ -41,8 +41,12 @@ def vector(text: Column) -> Column:
     lanes = F.array(*[F.lit(i) for i in range(WIDE)])
     wide = F.aggregate(digests, zeros, lambda acc, d: F.zip_with(acc, lanes, lambda v, i: _masked(v + _masked(F.xxhash64(d, i), (1 << WIDE_BITS) - 1), (1 << WIDE_BITS) - 1)))
     shifts = F.array(*[F.lit(i) for i in range(STRIDE)])
+
+    def hashes(seed: int) -> Column:
+        return F.transform(phrases, lambda p: F.xxhash64(p, F.lit(seed)))
+
     counters = [
-        F.aggregate(F.transform(phrases, lambda p, s=seed: F.xxhash64(p, F.lit(s))), F.array_repeat(F.lit(0).cast("long"), STRIDE), lambda acc, h: F.zip_with(acc, shifts, lambda v, i: _masked(v + _masked(F.call_function("shiftright", h, i), _ONES), _FULL)))
+        F.aggregate(hashes(seed), F.array_repeat(F.lit(0).cast("long"), STRIDE), lambda acc, h: F.zip_with(acc, shifts, lambda v, i: _masked(v + _masked(F.call_function("shiftright", h, i), _ONES), _FULL)))
         for seed in SEEDS
     ]
     return F.concat(wide, *counters, F.array(F.size(phrases).cast("long")))
