@@ -10,23 +10,26 @@ from lodegraph.plans.views import VERSIONS, versions
 from lodegraph.sources.tables import table
 
 _AT = "1996-01-01"
-_NOW = F.lit(_AT).cast("timestamp")
+
+
+def _now():
+    return F.lit(_AT).cast("timestamp")
 
 
 @query(f"WITH {VERSIONS} SELECT CASE WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN valid_from > TIMESTAMP '{_AT}' THEN 'pending' WHEN valid_to < TIMESTAMP '{_AT}' THEN 'expired' ELSE 'current' END AS status, count(*) AS versions FROM vs GROUP BY 1")
 def temporal_status(spark, sf_dir):
     v = versions(spark, sf_dir)
-    return v.groupBy(T.status(F.col("valid_from"), F.col("valid_to"), F.col("superseded_by"), _NOW).alias("status")).agg(F.count("*").alias("versions"))
+    return v.groupBy(T.status(F.col("valid_from"), F.col("valid_to"), F.col("superseded_by"), _now()).alias("status")).agg(F.count("*").alias("versions"))
 
 
 @query(f"WITH {VERSIONS} SELECT entity, version_id FROM vs WHERE valid_from <= TIMESTAMP '{_AT}' AND (valid_to IS NULL OR valid_to >= TIMESTAMP '{_AT}')")
 def valid_at_closed(spark, sf_dir):
-    return versions(spark, sf_dir).where(T.valid_closed(F.col("valid_from"), F.col("valid_to"), _NOW)).select("entity", "version_id")
+    return versions(spark, sf_dir).where(T.valid_closed(F.col("valid_from"), F.col("valid_to"), _now())).select("entity", "version_id")
 
 
 @query(f"WITH {VERSIONS} SELECT entity, version_id FROM vs WHERE valid_from <= TIMESTAMP '{_AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{_AT}')")
 def valid_at_halfopen(spark, sf_dir):
-    return versions(spark, sf_dir).where(T.valid_half_open(F.col("valid_from"), F.col("valid_to"), _NOW)).select("entity", "version_id")
+    return versions(spark, sf_dir).where(T.valid_half_open(F.col("valid_from"), F.col("valid_to"), _now())).select("entity", "version_id")
 
 
 @query(f"WITH {VERSIONS} SELECT max(version_sequence) AS longest, round(avg(version_sequence), 6) AS mean_sequence, count(superseded_by) AS superseded, count(*) AS versions FROM vs")

@@ -35,3 +35,12 @@ def test_query(spark, sf_dir, duck, name):
     theirs = duck.sql(catalogue.ORACLES[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert plain(mine) == plain(theirs)
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 0)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "True", done.stderr
