@@ -26,9 +26,9 @@ from lodegraph.sources.tables import written
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A list is long with more nodes than this, or more if there would be over MOST_LONG of them; they travel to all tasks.
-LONG, MOST_LONG = 32, 1_000_000
+LONG, MOST_LONG = 12, 1_000_000
 #: A node is at home with a hub from this similarity on, and blocks of nodes with one home hold so many at most.
-HOME, BLOCK = 0.4, 400
+HOME, BLOCK = 0.02, 400
 #: Bits of the filter that keeps texts which no pair needs from being shuffled.
 FILTER_BITS = 1 << 23
 #: Nodes that a task remembers in order not to send copies again; forgetting only sends them twice.
@@ -169,7 +169,7 @@ def _homes(star: DataFrame, seen: DataFrame) -> DataFrame:
     near = star.join(seen, (F.col("node") == F.col("a")) & (F.col("hub") == F.col("b"))).where(F.col("similarity") >= HOME)
     own = written(near.groupBy("node").agg(F.max(F.struct("c", "hub", (1 - F.col("similarity")).alias("far"))).alias("h")).select("node", F.col("h.hub").alias("home"), "h.far"))
     own = own.unionByName(own.select(F.col("home").alias("node")).distinct().join(own, "node", "left_anti").select("node", F.col("node").alias("home"), F.lit(0.0).alias("far")))
-    for _ in range(2):  # a hub that is itself a copy hands its copies on; how far they are is not known then
+    for _ in range(3):  # a hub that is itself a copy hands its copies on; how far they are is not known then
         up = own.where("node <> home").select(F.col("node").alias("home"), F.col("home").alias("up"))
         own = written(own.join(up, "home", "left").select("node", F.coalesce("up", "home").alias("home"), F.when(F.col("up").isNull(), F.col("far")).alias("far")))
     return own
@@ -247,24 +247,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(_prefixes(long_lists, False), shape).select("node", "n", F.explode("tokens").alias("token"))
     here = Window.partitionBy("token")
     live = rows.withColumns({"least": F.min("node").over(here), "most": F.max("node").over(here)}).where("least < most")
-    live = written(live.select("token", "node", "n"))
+    live = written(live.select("token", "node", "n").distinct())  # tasks that met the same set sent it more than once
     # the hub of a list is the node that shares most of its short lists: the text that near copies were made from
     shared = live.groupBy("node").agg(F.count("*").alias("k"), F.min("n").alias("n"))
     shared = shared.select("node", (F.col("k") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).alias("score"))
     star = live.join(shared, "node").withColumn("hub", F.max(F.struct("score", "node", "n")).over(here)).where(F.col("node") != F.col("hub.node"))
     star = star.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("hub.n").alias("m"))
-    star = written(star.where(F.col("c") * 100 >= F.least("n", "m") * 5))
+    star = written(star.where(F.col("c") * 100 >= F.least("n", "m") * 2))
     seen = written(_verified(docs, star.select(F.col("node").alias("a"), F.col("hub").alias("b")), carriers))
     links = seen.where("linked").select("a", "b")
     classes = written(connected_components(links))
     homes = written(_homes(star, seen))
-    marked = live.distinct().join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    marked = live.join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     several = marked.groupBy("token").agg((F.min("c") < F.max("c")).alias("open")).where("open").select("token")
     marked = written(marked.join(several, "token").join(homes, "node", "left"))
-    a, b = (marked.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "c", "home")]) for side in "ab")
+    # k lists of a node are open, so no partner can be met in more of them
+    open_lists = marked.groupBy("node").agg(F.count("*").cast("int").alias("k"))
+    a, b = (marked.join(open_lists, "node").select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "c", "home", "k")]) for side in "ab")
     # two that are at home with one hub are compared block by block, all others list by list
     apart = ~F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))
-    pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("node_a") < F.col("node_b")) & _close(F.col("n_a"), F.col("n_b")) & apart)
+    pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("node_a") < F.col("node_b")) & _close(F.col("n_a"), F.col("n_b")) & apart & _reachable(F.least("k_a", "k_b"), F.col("n_a"), F.col("n_b")))
     pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("c"), F.min("n_a").alias("n"), F.min("n_b").alias("m"))
     pairs = pairs.where(_reachable(F.col("c"), F.col("n"), F.col("m"))).select(F.col("node_b").alias("a"), F.col("node_a").alias("b"))
     links = links.union(_verified(docs, pairs, carriers).where("linked").select("a", "b")).union(_in_blocks(docs, marked, carriers))
