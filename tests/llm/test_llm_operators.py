@@ -169,6 +169,35 @@ def test_leaks_match_brute_force(spark, docs, texts, none):
     assert decontaminate.op4_decontamination(spark, "", none, bench).count() == 0 and decontaminate.op4_decontamination(spark, "", docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_another_order_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    bench, texts = [], [None, ""]
+    for i, n in enumerate((40, 59, 120, 300, 9)):
+        w = [f"w{i}x{j}" for j in range(n)]
+        if i == 2:
+            w[60:] = w[:60]  # shingles that occur twice
+        bench.append(" ".join(w))
+        for at in (n // 2, n // 3):
+            for before, after in ((25, 200), (0, 0), (3, 1)):
+                texts.append(" ".join(sentence(rng, before).split() + w[at:] + w[:at] + sentence(rng, after).split()))
+        texts.append(" ".join(w[: n - n // 12]))
+    grams = lambda x: collections.Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+    want = {}
+    for item, w in enumerate(map(str.split, bench)):
+        mine = grams(w)
+        for i, t in enumerate(texts):
+            own = words(t)
+            for s in range(max(1, len(own) - len(w) + 1)):
+                other = grams(own[s : s + len(w)])
+                share = sum((mine & other).values()) / sum((mine | other).values())
+                if share >= 0.75 and share > want.get((i, item), (0, 0))[0] + 1e-12:
+                    want[i, item] = (share, s)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.op4_decontamination(spark, "", docs, spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in rows} == {k: (round(x, 6), s) for k, (x, s) in want.items()}
+    assert want[2, 0][0] == pytest.approx(0.8) and len(want) >= 25
+
+
 def test_compact_windows_match_their_definition():
     rng = np.random.default_rng(1)
     for n, width in ((0, 5), (5, 5), (200, 7), (46, 46), (300, 46)):
