@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -21,7 +22,7 @@ from lodegraph.llm._spans import Span, found, joined, sha256
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as log10, from which a value counts as a secret.
 LEAST_LOG10_GUESSES = 8.0
-#: Characters of a value that the dynamic programme segments one by one; the rest of a longer one costs brute force.
+#: Characters that guess_cost segments by itself, the rest costing brute force; the operator has whole values segmented.
 WINDOW = 64
 
 # fixed values: the base patterns
@@ -31,9 +32,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # the runs [0-9a-f]+ of 32 char
 
 #: Wider credential contexts whose value the guess cost decides on; the value is the last group that took part.
 CONTEXTS = re.compile(
-    r"""(?:(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth)["']?\x20{0,4}(?::=|=>|[:=])\x20{0,4}(?:"([^"\n]{4,200})"|'([^'\n]{4,200})'|([^\s"',;]{4,200}))"""
-    r"""|(?i:bearer|basic)\x20([A-Za-z0-9+/_.=~-]{8,200})"""
-    r"""|[a-z][a-z0-9+]{1,10}://[^\s:/@]{1,64}:([^\s/@]{4,200})@)""",
+    r"""(?:(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth)["']?\x20{0,4}(?::=|=>|[:=])\x20{0,4}(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;]{4,}))"""
+    r"""|(?i:bearer|basic)\x20([A-Za-z0-9+/_.=~-]{8,})"""
+    r"""|[a-z][a-z0-9+]{1,10}://[^\s:/@]{1,64}:([^\s/@]{4,})@)""",
     re.ASCII,
 )
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
@@ -61,41 +62,47 @@ def _alphabet(c: str) -> float:
 
 
 @lru_cache(maxsize=4096)
-def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
-    """log10 of the guesses of the cheapest segmentation of value; empty values cost 0.
+def guess_cost(value: str, words: tuple[str, ...] = WORDS, window: int | None = WINDOW) -> float:
+    """log10 of the guesses of the cheapest segmentation of value; empty values cost 0. A window of None takes in all of it.
 
     best[i] is the least cost of the first i characters. A segment is a dictionary word (its rank, doubled for case and
     for look-alike characters), a date, a repeat of one character or block, a walk along a keyboard row or the alphabet,
     or a brute-force span at its characters' alphabets. Each further segment doubles the guesses for the arrangement.
     """
-    head, tail = value[:WINDOW], value[WINDOW:]
-    lower, n = head.lower(), len(head)
+    head, tail = (value, "") if window is None else (value[:window], value[window:])
+    lower, n = "".join(low if len(low := c.lower()) == 1 else c for c in head), len(head)
     plain, ranks, split = lower.translate(_LEET), {w: r for r, w in enumerate(words, 2)}, math.log10(2)
     longest = max(map(len, words), default=0)
     brute = [0.0]
     for c in head:
         brute.append(brute[-1] + math.log10(_alphabet(c)))
-    dates = [(m.start(), m.end()) for i in range(n) if head[i].isdigit() and (m := _DATE.match(head, i))]
-    walks: list[tuple[int, int]] = []
+    by_end: dict[int, list[tuple[int, float]]] = {}
+    for i in range(n):
+        if head[i].isdigit() and (m := _DATE.match(head, i)):
+            by_end.setdefault(m.end(), []).append((i, math.log10(365 * 120 if m.end() - i > 4 else 120)))
+    steps = len(_ROWS) * 2 * 26
+    walks: dict[int, list[int]] = {}  # by end: where the longest walks start that reach it
     for step in (1, -1):
         start = 0
         for i in range(1, n + 1):
             if i == n or not any(0 <= row.find(lower[i - 1]) + step < len(row) and row.find(lower[i - 1]) >= 0 and row[row.find(lower[i - 1]) + step] == lower[i] for row in _ROWS):
-                if i - start >= 3:
-                    walks.append((start, i))
+                for j in range(start + 3, i + 1):
+                    walks.setdefault(j, []).append(start)
                 start = i
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j in dates:
-        by_end.setdefault(j, []).append((i, math.log10(365 * 120 if j - i > 4 else 120)))
-    for i, j in walks:
-        for a in range(i, j - 2):
-            for b in range(a + 3, j + 1):
-                by_end.setdefault(b, []).append((a, math.log10(len(_ROWS) * 2 * 26 * (b - a))))
-    best, least = [0.0] * (n + 1), 0.0  # least: of best[i] + split - brute[i], what a brute-force span from i on starts with
+    repeats: dict[int, list[tuple[int, int]]] = {}  # by end: width of the block, where its repeats start
+    for width, start, end in _repeats(head, longest):
+        for j in range(start + 2 * width, end + 1):
+            repeats.setdefault(j, []).append((width, start))
+    lengths = np.log10(np.arange(1, n + 2))
+    best, least = np.zeros(n + 1), 0.0  # least: of best[i] + split - brute[i], what a brute-force span from i on starts with
+    begins = np.full(n + 1, split)  # best[i] and what a further segment costs
+    begins[0] = 0.0
     for j in range(1, n + 1):
         low = least + brute[j]
         for i, cost in by_end.get(j, ()):
-            low = min(low, best[i] + (split if i else 0.0) + cost)
+            low = min(low, begins[i] + cost)
+        for i in walks.get(j, ()):
+            low = min(low, (begins[i : j - 2] + lengths[2 : j - i][::-1]).min() + math.log10(steps))
         for i in range(max(0, j - longest), j):
             rank = ranks.get(lower[i:j])
             extra = 0.0
@@ -103,25 +110,38 @@ def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
                 rank, extra = ranks.get(plain[i:j]), split
             if rank is not None:
                 extra += split if head[i:j] != lower[i:j] else 0.0
-                low = min(low, best[i] + (split if i else 0.0) + math.log10(rank) + extra)
-        for width in range(1, j // 2 + 1):
-            block, times = head[j - width : j], 1
-            if not head.startswith(block, j - 2 * width):
-                continue
-            while j - (times + 1) * width >= 0 and head[j - (times + 1) * width : j - times * width] == block:
-                times += 1
-                i = j - times * width
-                base = best_of_block(block, ranks)
-                low = min(low, best[i] + (split if i else 0.0) + base + math.log10(times))
+                low = min(low, begins[i] + math.log10(rank) + extra)
+        for width, start in repeats.get(j, ()):
+            times = (j - start) // width
+            rank = ranks.get(lower[j - width : j]) if width <= longest else None
+            block = math.log10(rank) if rank is not None else brute[j] - brute[j - width]
+            low = min(low, (begins[j - times * width : j - width : width] + lengths[1:times][::-1]).min() + block)
         best[j] = low
+        begins[j] = low + split
         least = min(least, low + split - brute[j])
-    return best[n] + sum(math.log10(_alphabet(c)) for c in tail)
+    return float(best[n]) + sum(math.log10(_alphabet(c)) for c in tail)
+
 
+def _repeats(text: str, longest: int) -> list[tuple[int, int, int]]:
+    """(width, start, end) of maximal stretches in which blocks of a width stand twice or more.
 
-def best_of_block(block: str, ranks: dict[str, int]) -> float:
-    """Cost of what a repeat repeats: a dictionary word's rank or brute force."""
-    rank = ranks.get(block.lower())
-    return math.log10(rank) if rank is not None else sum(math.log10(_alphabet(c)) for c in block)
+    A block over longest that itself repeats a shorter one is left out: the shorter one has the same stretch, and costs less.
+    """
+    at, found = np.array([ord(c) for c in text], dtype=np.uint32), []
+    known: dict[tuple[int, int], list[int]] = {}
+    for width in range(1, len(at) // 2 + 1):
+        if not (at[width::width] == at[:-width:width]).any():  # a block and its copy span a multiple of the width
+            continue
+        same = np.concatenate([[False], at[width:] == at[:-width], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if last - first < width:
+                continue
+            shorter = known.setdefault((first, last + width), [])
+            if width <= longest or not any(width % w == 0 for w in shorter):
+                found.append((width, first, last + width))
+                shorter.append(width)
+    return found
 
 
 def base_spans(text: str) -> list[Span]:
@@ -145,7 +165,7 @@ def added_spans(text: str, base: list[Span]) -> list[tuple[int, int, str, float]
         end = start + len(value)
         if any(s < end and start < e for s, e, _ in base):
             continue
-        if (cost := guess_cost(value)) >= LEAST_LOG10_GUESSES:
+        if (cost := guess_cost(value, window=None)) >= LEAST_LOG10_GUESSES:
             spans.append((start, end, "guess", cost))
     return spans
 
@@ -161,7 +181,7 @@ def scan(docs: DataFrame, ident: str, text: str) -> DataFrame:
             for value in batch.column(text):
                 whole = value.as_py() or ""
                 base = base_spans(whole)
-                every = [(*s, guess_cost(ASSIGN.match(whole, s[0]).group(2) if s[2] == "assign" else whole[s[0] : s[1]])) for s in base] + added_spans(whole, base)
+                every = [(*s, guess_cost(ASSIGN.match(whole, s[0]).group(2) if s[2] == "assign" else whole[s[0] : s[1]], window=None)) for s in base] + added_spans(whole, base)
                 rows.append([{"start": a, "end": b, "kind": k, "value": whole[a:b], "cost": c} for a, b, k, c in sorted(every)])
             yield pa.RecordBatch.from_arrays([batch.column(ident), pa.array(rows, type=kind)], names=[ident, "secrets"])
 

@@ -271,6 +271,43 @@ def test_guess_costs_order_values():
     assert cost("qwertyuiop") < 5 and cost("aaaaaaaaaaaa") < 4 and cost("20240115") < 5 and cost("x" * 500) > 100
 
 
+CONTEXTS_OF = ('private_key="{}" x', "credentials: '{}' x", "pwd={} x", "Bearer {} x", "db://user:{}@host x")
+
+
+@pytest.mark.parametrize("n", [65, 100, 201, 5000])
+def test_long_values_are_seen_whole(n):
+    rng = np.random.default_rng(n)
+    value = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), size=n))
+    for context in CONTEXTS_OF:
+        text, at = context.format(value), context.index("{")
+        assert [s[:3] for s in secrets.added_spans(text, [])] == [(at, at + n, "guess")], context
+        for dull in ("x" * n, ("changeme" * n)[:n // 8 * 8]):
+            assert secrets.added_spans(context.format(dull), []) == [], context
+    assert secrets.guess_cost("x" * 64 + "y" * (n - 64), window=None) <= np.log10(26 * 64 * 2 * 26 * (n - 64)) + 1e-9
+
+
+def test_guess_costs_match_all_segmentations():
+    import math
+
+    def plain(value):
+        """Repeats, brute force and words of lower-case letters, each pair of ends tried."""
+        ranks, best = {w: r for r, w in enumerate(secrets.WORDS, 2)}, [0.0]
+        cost = lambda b: math.log10(ranks[b]) if b in ranks else len(b) * math.log10(26)
+        for j in range(1, len(value) + 1):
+            found = []
+            for i in range(j):
+                b = value[i:j]
+                of = [cost(b)] + [cost(b[:w]) + math.log10(len(b) // w) for w in range(1, len(b)) if len(b) % w == 0 and b == b[:w] * (len(b) // w)]
+                found.append(best[i] + (math.log10(2) if i else 0) + min(of))
+            best.append(min(found))
+        return best[-1]
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        parts = [str(rng.choice(["xxx", "foo", "test", "k", "mq", "mqzzv"])) * int(rng.integers(1, 30)) + "".join(rng.choice(list("kmqvz"), size=rng.integers(0, 9))) for _ in range(3)]
+        assert secrets.guess_cost("".join(parts), window=None) == pytest.approx(plain("".join(parts)))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(6)
