@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import names as N
 from lodegraph.operators import chunking, security
+from lodegraph.operators.overlap import overlaps
 from lodegraph.plans.registry import query
 from lodegraph.plans.views import DECIDED, SECURED, VERTICES, secured, vertices
 from lodegraph.sources.tables import table
@@ -99,6 +100,22 @@ def keyword_overlap(spark, sf_dir):
     return d.join(b, "item_id").select("doc_id", "item_id", F.round(share, 6).alias("contained"))
 
 
+@query()
+def ngram_overlaps(spark, sf_dir):
+    """Three-word overlap of all documents with all benchmark items; pairs without a common run have 0 and no row."""
+    d = table(spark, sf_dir, "documents").select("doc_id", N.words(F.col("text")).alias("w")).select("doc_id", N.ngrams(F.col("w")).alias("terms"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", N.words(F.col("text")).alias("w")).select("item_id", N.ngrams(F.col("w")).alias("terms"))
+    return overlaps(d, b).select("doc_id", "item_id", F.round(F.col("common") / (F.col("n_doc") + F.col("n_item") - F.col("common")), 6).alias("overlap"))
+
+
+@query()
+def keyword_overlaps(spark, sf_dir):
+    """Share of every benchmark item's longer words that each document has; pairs without a common word have 0 and no row."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(N.words(F.col("text"))).alias("terms"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.array_distinct(N.words(F.col("text"))), lambda x: F.length(x) > 2).alias("terms"))
+    return overlaps(d, b).select("doc_id", "item_id", F.round(F.col("common") / F.col("n_item"), 6).alias("contained"))
+
+
 @query(f"WITH {SECURED}, {DECIDED} SELECT doc_id, reason FROM dd WHERE reason = 'granted'")
 def row_security(spark, sf_dir):
     return _decided(spark, sf_dir).where("reason = 'granted'").select("doc_id", "reason")

@@ -166,3 +166,26 @@ def test_screening(spark):
         screening.redacted(F.lit("to a@b.co from 10.0.0.1")).alias("c"), screening.csv_field(F.lit('x,"y')).alias("d"), screening.csv_field(F.lit(None)).alias("e"),
     ).first()
     assert row.a == ["override", "role"] and row.b == [] and row.c == "to [EMAIL] from [IP]" and row.d == '"x,""y"' and row.e == ""
+
+
+def test_overlaps_cover_every_pair(spark, tmp_path):
+    from lodegraph.plans import catalogue
+
+    items = [f"item{i} asks about thing{i} of the common words in place{i} now" for i in range(50)] + [None, "", "a bb"]
+    docs = [(7, items[7]), (8, f"before it {items[45]} and after"), (47, f"{items[3]} {items[49]}"), (47, items[49]), (None, items[0]), (3, None), (4, "of the common")]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = lambda t: (t or "").lower().split()
+    runs = lambda t: {tuple(words(t)[i : i + 3]) for i in range(len(words(t)) - 2)}
+    jaccard, contained = [], []
+    for d, text in docs:
+        for i, item in enumerate(items):
+            if both := runs(text) & runs(item):
+                jaccard.append((d, i, round(len(both) / len(runs(text) | runs(item)), 6)))
+            keys = {w for w in words(item) if len(w) > 2}
+            if both := keys & set(words(text)):
+                contained.append((d, i, round(len(both) / len(keys), 6)))
+    for name, score, want in (("ngram_overlaps", "overlap", jaccard), ("keyword_overlaps", "contained", contained)):
+        got = [(r.doc_id, r.item_id, r[score]) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert collections.Counter(got) == collections.Counter(want)
+    assert (7, 7, 1.0) in jaccard and any(x[:2] == (8, 45) for x in jaccard)
