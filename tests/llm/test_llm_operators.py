@@ -200,29 +200,78 @@ def test_leaks_in_another_order_match_brute_force(spark):
 
 def test_compact_windows_match_their_definition():
     rng = np.random.default_rng(1)
-    for n, width in ((0, 5), (5, 5), (200, 7), (46, 46), (300, 46)):
-        v = mixed(rng.integers(0, 2**63, n).astype(np.uint64))
+    for sizes, width, most in (((0,), 5, 2**63), ((5, 4, 0, 9), 5, 2**63), ((200, 3, 150), 7, 2**63), ((46,), 46, 2**63), ((300, 60, 500), 46, 2**63), ((90, 80), 9, 12)):
+        values = [rng.integers(1, most, n).astype(np.uint64) for n in sizes]
+        ends = np.cumsum(sizes) + np.arange(len(sizes)) * 4
+        starts = ends - np.array(sizes)
+        whole = np.zeros(int(ends[-1]) + 4, dtype=np.uint64) + np.uint64(7)
         want = set()
-        for c in range(n):
-            left = right = c
-            while left > 0 and v[left - 1] > v[c]:
-                left -= 1
-            while right < n - 1 and v[right + 1] > v[c]:
-                right += 1
-            if right - left + 1 >= width:
-                want.add((left, c, right))
-        assert set(passages.compact_windows(v, width)) == want
+        for v, low in zip(values, starts, strict=True):
+            whole[low : low + len(v)] = v
+            for c in range(len(v)):
+                left = right = c
+                while left > 0 and v[left - 1] > v[c]:
+                    left -= 1
+                while right < len(v) - 1 and v[right + 1] >= v[c]:
+                    right += 1
+                if right - left + 1 >= width:
+                    want.add((low + left, low + c, low + right))
+        assert set(zip(*passages.compact_windows(whole, starts, ends, width), strict=True)) == want
 
 
 def test_repeated_passages(spark, docs, none):
     rows = passages.op9_passages(spark, "", docs).collect()
-    pairs = {tuple(sorted((r.doc_id, r.other_id))) for r in rows}
-    assert {(0, 1), (0, 2), (9, 10)} <= pairs and {i for p in pairs for i in p} == {0, 1, 2, 3, 9, 10}
-    stretch = next(r for r in rows if {r.doc_id, r.other_id} == {9, 10})
-    assert (stretch.start_word, stretch.end_word) == ((0, 60) if stretch.doc_id == 9 else (20, 80))
+    pairs = {(r.doc_id, r.other_id) for r in rows}
+    assert {(1, 0), (0, 1), (2, 0), (9, 10), (10, 9)} <= pairs and {i for p in pairs for i in p} == {0, 1, 2, 3, 9, 10}
+    assert {(r.start_word, r.end_word, r.other_start, r.other_end) for r in rows if (r.doc_id, r.other_id) == (9, 10)} == {(0, 60, 20, 80)}
+    assert {(r.start_word, r.end_word, r.other_start, r.other_end) for r in rows if (r.doc_id, r.other_id) == (10, 9)} == {(20, 80, 0, 60)}
     assert passages.op9_passages(spark, "", none).count() == 0
 
 
+def best_window_pairs(one, other, k=50):
+    """Whether two texts hold windows of k words with similar sets of shingles, every pair of windows tried."""
+    sets = [[frozenset(tuple(w[i + j : i + j + 5]) for j in range(k - 4)) for i in range(len(w) - k + 1)] for w in (words(one), words(other))]
+    grams = [set().union(*s) if s else set() for s in sets]
+    return len(grams[0] & grams[1]) >= 30 and any(len(a & b) >= 0.75 * len(a | b) for a in sets[0] for b in sets[1])
+
+
+def test_passage_recall_against_all_windows(spark):
+    """Near-duplicates of 50 to 150 words with changed, added and missing words, chains and groups with a common line."""
+    rng = np.random.default_rng(12)
+    texts, line = [], sentence(rng, 18)
+    for n, changes in ((50, 0), (50, 1), (60, 1), (80, 1), (100, 2), (150, 4)) * 6:
+        w = sentence(rng, n).split()
+        v = list(w)
+        for at in rng.choice(n, size=changes, replace=False):
+            v[at : at + 1] = [["changed"], [], ["two", "words"]][int(rng.integers(3))]
+        for x in (w, v):
+            texts.append(f"{sentence(rng, int(rng.integers(10, 40)))} {' '.join(x)} {line} {sentence(rng, 15)}")
+    chain = [sentence(rng, 75) for _ in range(21)]
+    texts += [f"{chain[i]} {sentence(rng, 20)} {chain[i + 1]}" for i in range(20)]
+    version = sentence(rng, 50).split()
+    texts += [" ".join([*version[:25], *sentence(rng, 60).split()])] + [f"{sentence(rng, 30)} {' '.join(version)} {sentence(rng, 30)}" for _ in range(12)]
+    got = passages.op9_passages(spark, "", spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    near = {frozenset((r.doc_id, r.other_id)) for r in got}
+    assert near == {frozenset((r.other_id, r.doc_id)) for r in got}
+    root = list(range(len(texts)))  # classes: texts of a group are linked through the one that stands for it
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in near:
+        root[find(a)] = find(b)
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if best_window_pairs(texts[i], texts[j])]
+    assert len(want) >= 36 + 19 + 60 and np.mean([find(i) == find(j) for i, j in want]) >= 0.97
+    assert all(best_window_pairs(texts[a], texts[b], 50) for a, b in near)
+
+
+def test_passages_inside_a_document_and_on_awkward_rows(spark):
+    rng = np.random.default_rng(13)
+    twice, other = sentence(rng, 60), sentence(rng, 55)
+    texts = [(1, f"{twice} {sentence(rng, 30)} {twice}"), (2, other), (2, f"{other} {sentence(rng, 20)}"), (None, other), (3, None), (4, ""), (5, sentence(rng, 20000)), (6, "same " * 6000), (7, sentence(rng, 200)), (7, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in texts], "doc_id long, text string, node int, other int, key int")
+    rows = passages.op9_passages(spark, "", docs.union(docs.where("doc_id = 7"))).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} - {(6, 6)} == {(1, 1), (2, 2)}
+    assert {(r.start_word, r.end_word) for r in rows if r.doc_id == 1} == {(0, 60), (90, 150)}
+
+
 def test_personal_data(spark, none):
     text = "Mail a.b+c@ex-1.example.com or +1 (988) 555-2485, card 4041894974608795, not 4041894974608796; host 10.0.0.255 not 10.0.0.256. é 0042.1.1.1"
     rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (3, "")], "doc_id long, text string")
