@@ -1,9 +1,9 @@
 """Toxicity by a linear classifier over character n-grams, its features scaled by naive Bayes log-count ratios.
 
-A document's features are the distinct hashed n-grams of its lower-cased text. Every n-gram gets the log ratio of its
-smoothed shares among toxic and other training documents; those that tell the classes apart best are kept, and a
-logistic regression is fitted on features that carry their ratio in place of 1. Scoring reads a text once and touches
-only the few kept n-grams that it holds, so a long clean text collects nothing.
+A document's features are the distinct hashed n-grams of its lower-cased text. Every n-gram that occurs in two training
+documents or more gets the log ratio of its smoothed shares among toxic and other ones, and a logistic regression is
+fitted on features that carry their ratio in place of 1; the ridge does the selecting, none is cut away. Scoring reads
+a text once and looks each n-gram up in one table of weights.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm._linear import fit_logistic, sigmoid
+from lodegraph.llm._linear import fit_sparse, sigmoid
 from lodegraph.sources.tables import written
 
 #: Lengths of the n-grams, in characters of the lower-cased text.
@@ -23,9 +23,11 @@ LENGTHS = (4, 5)
 #: Bits of an n-gram's hash.
 BITS = 22
 #: Labelled documents to fit on at most, drawn by a hash of their id.
-SAMPLE = 12_000
-#: N-grams kept at most, and the least |z| of their log-count ratio.
-FEATURES, LEAST_Z = 512, 4.5
+SAMPLE = 4_000
+#: Training documents that an n-gram must occur in, and how many documents at the base rate smooth its ratio.
+LEAST_DOCUMENTS, PRIOR = 2, 4.0
+#: Weight of the ridge.
+RIDGE = 30.0
 #: Characters that are hashed at once.
 SLICE_CHARS = 1 << 20
 
@@ -41,46 +43,32 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
             low, size = at + 1, 0
 
 
-def ngram_hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the distinct n-grams in each text; wanted: feature by hash or -1, else the hash is the feature."""
-    lengths = np.array([len(x) for x in texts], dtype=np.int64)
-    ends = np.cumsum(lengths)
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    rows, features = [], []
-    h = np.zeros(len(chars), dtype=np.uint32)
-    for j in range(max(LENGTHS)):
-        if len(chars) <= j:
-            break
-        h = h[: len(chars) - j] + (chars[j:] + np.uint32(1)) * _STEPS[j]
-        if j + 1 in LENGTHS:
-            key = h ^ (h >> np.uint32(15))
-            key = (key * np.uint32(0x2C1B3C6D + 2 * j)) >> np.uint32(32 - BITS)
-            if wanted is None:
-                at = np.arange(len(key))
-                found = key.astype(np.int64)
-            else:
-                found = wanted[key]
-                at = np.flatnonzero(found >= 0)
-                found = found[at]
-            row = np.searchsorted(ends, at, "right")
-            inside = at + j < ends[row]
-            rows.append(row[inside])
-            features.append(found[inside].astype(np.int64))
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    both = np.unique(np.concatenate(rows) << 32 | np.concatenate(features))
-    return both >> 32, both & 0xFFFFFFFF
+def ngrams(texts: list[str | None], last: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct n-grams of each text. last: an int32 array of 1 << BITS, scratch space that needs no clearing."""
+    for _, part in _slices(texts):
+        chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        keys: dict[int, np.ndarray] = {}
+        h = np.zeros(len(chars), dtype=np.uint32)
+        for j in range(max(LENGTHS)):
+            h = h[: max(0, len(chars) - j)] + (chars[j:] + np.uint32(1)) * _STEPS[j]
+            if j + 1 in LENGTHS:
+                key = h ^ (h >> np.uint32(15))
+                keys[j] = (key * np.uint32(0x2C1B3C6D + 2 * j)) >> np.uint32(32 - BITS)
+        start = 0
+        for text in part:
+            own = np.concatenate([key[start : max(start, start + len(text) - j)] for j, key in keys.items()])
+            start += len(text)
+            order = np.arange(len(own), dtype=np.int32)
+            last[own] = order  # of equal n-grams, the last one stays
+            yield own[last[own] == order]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other documents of this task hold each n-gram."""
-    seen = np.zeros((2, 1 << BITS), dtype=np.int32)
+    seen, last = np.zeros((2, 1 << BITS), dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
     for batch in batches:
-        labels = np.array(batch.column("label"), dtype=np.int64)
-        for low, texts in _slices(batch.column("text").to_pylist()):
-            rows, features = ngram_hits(texts, None)
-            for c in (0, 1):
-                seen[c] += np.bincount(features[labels[low + rows] == c], minlength=1 << BITS).astype(np.int32)
+        for label, own in zip(batch.column("label").to_pylist(), ngrams(batch.column("text").to_pylist(), last), strict=True):
+            seen[label, own] += 1
     at = np.flatnonzero(seen.any(axis=0))
     for low in range(0, len(at), 1 << 18):
         part = at[low : low + (1 << 18)]
@@ -88,41 +76,37 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame) -> dict:
-    """The model from labelled (id, text, label 0 or 1), of which SAMPLE rows at most are given."""
+    """The model from labelled (text, label 0 or 1), of which SAMPLE rows at most are given.
+
+    n-grams, at most 1 << BITS of them, and the sample's lists of them come to the driver.
+    """
     sizes = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    base = float(np.log((pos + 0.5) / (neg + 0.5)))
+    share = (pos + 0.5) / (pos + neg + 1)
     counts = labelled.select("text", "label").mapInArrow(_counts, "feature int, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
-    ratio = F.log(((F.col("p") + 1) / F.lit(pos + 2.0)) / ((F.col("q") + 1) / F.lit(neg + 2.0)))
-    spread = F.sqrt(1 / (F.col("p") + 1) - 1 / F.lit(pos + 2.0) + 1 / (F.col("q") + 1) - 1 / F.lit(neg + 2.0))
-    best = counts.select("feature", ratio.alias("r"), F.abs(ratio / spread).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
-    hashes, ratios = np.array([b.feature for b in best], dtype=np.int64), np.array([b.r for b in best])
-    wanted = _table(hashes)
+    ratio = F.log((F.col("p") + PRIOR * share) / (F.col("q") + PRIOR * (1 - share))) - base
+    known = counts.where(F.col("p") + F.col("q") >= LEAST_DOCUMENTS).select("feature", ratio.cast("float").alias("ratio")).toArrow()
+    features, ratios = np.array(known.column("feature"), dtype=np.int32), np.array(known.column("ratio"), dtype=np.float32)
+    order = np.argsort(features)
+    features, ratios = features[order], ratios[order]
+    if not len(features) or not pos or not neg:
+        return {"features": features[:0], "weights": ratios[:0], "bias": base}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(hashes)
-        for batch in batches:
-            for low, texts in _slices(batch.column("text").to_pylist()):
-                rows, features = ngram_hits(texts, table)
-                cut = np.searchsorted(rows, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(low, len(texts)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(features.astype(np.int32)))], names=["label", "features"])
-
-    del wanted
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(present, "label int, features array<int>").toArrow() if best else None
-    if rows is None:
-        base = float(np.log((pos + 0.5) / (neg + 0.5)))
-        return {"hashes": hashes, "weights": np.zeros(0), "bias": base}
+        number, last = np.full(1 << BITS, -1, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
+        number[features] = np.arange(len(features), dtype=np.int32)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 64):
+                batch = whole.slice(low, 64)
+                lists = [at[at >= 0] for at in (number[own] for own in ngrams(batch.column("text").to_pylist(), last))]
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.concatenate(lists)))], names=["label", "features"])
+
+    rows = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(present, "label int, features array<int>").toArrow()
     lists = rows.column("features").combine_chunks()
-    x = np.zeros((len(rows), len(hashes)), dtype=np.float32)
-    x[np.repeat(np.arange(len(rows)), np.diff(np.array(lists.offsets))), np.array(lists.values)] = 1.0
-    x *= ratios
-    coef, bias = fit_logistic(x, np.array(rows.column("label"), dtype=float), ridge=2.0)
-    return {"hashes": hashes, "weights": coef * ratios, "bias": bias}
-
-
-def _table(hashes: np.ndarray) -> np.ndarray:
-    table = np.full(1 << BITS, -1, dtype=np.int16)
-    table[hashes] = np.arange(len(hashes))
-    return table
+    weights, bias = fit_sparse(np.array(lists.values), np.array(lists.offsets), ratios, np.array(rows.column("label"), dtype=float), RIDGE)
+    return {"features": features, "weights": (weights * ratios).astype(np.float32), "bias": bias}
 
 
 def score(docs: DataFrame, text: str, model: dict, name: str = "score") -> DataFrame:
@@ -130,13 +114,10 @@ def score(docs: DataFrame, text: str, model: dict, name: str = "score") -> DataF
     schema = docs.drop(text).schema.add(name, "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights = _table(model["hashes"]), np.asarray(model["weights"])
+        weights, last = np.zeros(1 << BITS, dtype=np.float32), np.zeros(1 << BITS, dtype=np.int32)
+        weights[model["features"]] = model["weights"]
         for batch in batches:
-            out = np.full(batch.num_rows, model["bias"])
-            for low, texts in _slices(batch.column(text).to_pylist()):
-                rows, features = ngram_hits(texts, table)
-                if len(rows):
-                    out[low : low + len(texts)] += np.bincount(rows, weights=weights[features], minlength=len(texts))
+            out = np.array([model["bias"] + weights[own].sum(dtype=np.float64) for own in ngrams(batch.column(text).to_pylist(), last)], dtype=np.float64)
             kept = [i for i, n in enumerate(batch.schema.names) if n != text]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(sigmoid(out))], names=[*[batch.schema.names[i] for i in kept], name])
 
@@ -146,8 +127,9 @@ def score(docs: DataFrame, text: str, model: dict, name: str = "score") -> DataF
 def sampled_labels(labels: DataFrame, docs: DataFrame, column: str, most: int, held_out: int | None = 2, more: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, label, more) of most labelled documents at most, by a hash of the id, without those held out.
 
-    Null labels and ids are left out; an id with several labels counts as 1 if most of them do. The chosen ids are few,
-    most bounds them, so they are broadcast and no text is shuffled.
+    Null labels and ids are left out; an id with several labels counts as 1 if half of them do, one with several rows is
+    represented by the least of them. The chosen ids are few, most bounds them, so they are broadcast, only their texts
+    are shuffled, and most bounds the rows too.
     """
     key = F.col("doc_id").cast("string")
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
@@ -156,7 +138,8 @@ def sampled_labels(labels: DataFrame, docs: DataFrame, column: str, most: int, h
     chosen = chosen.groupBy("doc_id").agg((F.avg(F.col(column)) >= 0.5).cast("int").alias("label"))
     chosen = written(chosen.orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id").limit(most), 1)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", *more)).alias("row"))
+    return found.select("doc_id", "label", "row.*")
 
 
 def op1_toxicity(spark, sf_dir: str, docs: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
