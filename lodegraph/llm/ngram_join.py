@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm._text import mixed, shingles, signed, text_slices, words
+from lodegraph.llm._rows import hidden
+from lodegraph.llm._wanted import texts_of
 from lodegraph.operators.components import connected_components
 from lodegraph.sources.tables import written
 
@@ -29,8 +31,8 @@ PERCENT = 75
 LONG, MOST_LONG = 12, 1_000_000
 #: A node is at home with a hub from this similarity on, and blocks of nodes with one home hold so many at most.
 HOME, BLOCK = 0.02, 400
-#: Bits of the filter that keeps texts which no pair needs from being shuffled.
-FILTER_BITS = 1 << 23
+#: Shingles of a slice of a component at most, texts longer than that alone; a task that counts links holds two slices.
+SLICE_SHINGLES = 1 << 20
 #: Nodes that a task remembers in order not to send copies again; forgetting only sends them twice.
 REMEMBERED = 1 << 20
 
@@ -94,7 +96,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values in shingle_sets(batch.column("text")):
             nodes.append(node_of(values) if len(values) else None)
             sizes.append(len(values))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int64())], names=["doc_id", "node", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int64())], names=["doc_id", "text_hash", "node", "n"])
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -108,26 +110,9 @@ def _reachable(count: Column, n: Column, m: Column) -> Column:
     return count + F.greatest(rest(n), rest(m)) >= F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-9)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit array with the bit of every id set; at most FILTER_BITS / 64 rows reach the driver."""
-    bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS))
-    rows = ids.select((bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64({ids.columns[0]}), {FILTER_BITS}) % 64))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    bits[np.array(rows.column("w"))] = np.array(rows.column("b")).astype(np.int64).view(np.uint64)
-    return bits
-
-
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ids, and of few others."""
-    bits = _filter_of(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.array(batch.column("at"), dtype=np.int64)
-            keep = (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
-
-    return docs.where("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, text string")
+def nodes_of(column: pa.Array) -> np.ndarray:
+    """The name of each row's set; rows without words have name 0."""
+    return np.array([node_of(values) if len(values) else 0 for values in shingle_sets(column)], dtype=np.int64)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, carriers: DataFrame) -> DataFrame:
@@ -136,9 +121,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, carriers: DataFrame) -> DataFra
     named = written(named)
     if not named.take(1):
         return named.select("a", "b", F.lit(0.0).alias("similarity"), F.lit(False).alias("linked"))
-    texts = _texts(docs, named.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))
-    both = named.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-    both = both.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").select("a", "b", "text_a", "text_b")
+    texts = texts_of(docs, named.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")), nodes_of)
+    # rows are told apart by node, for ids may be null or repeat
+    b, a = (texts.select(F.col("node").alias(f"_{x}"), F.col("doc_id").alias(f"_doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ba")
+    both = named.join(b, (F.col("b") == F.col("_b")) & F.col("doc_b").eqNullSafe(F.col("_doc_b"))).drop("_b", "_doc_b")
+    both = both.join(a, (F.col("a") == F.col("_a")) & F.col("doc_a").eqNullSafe(F.col("_doc_a"))).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -185,7 +172,7 @@ def _in_blocks(docs: DataFrame, marked: DataFrame, carriers: DataFrame) -> DataF
     main = nodes.groupBy("home", "c").agg(F.count("*").alias("size")).groupBy("home").agg(F.max(F.struct("size", "c")).alias("m")).select("home", F.col("m.c").alias("main"))
     kind = F.struct((F.col("c") == F.col("main")).alias("main"), F.coalesce(F.floor(F.col("far") * 20), F.lit(-1)).alias("far"))
     nodes = written(nodes.join(main, "home").withColumn("kind", kind).drop("main"))
-    sizes = nodes.groupBy("home", "kind").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
+    sizes = nodes.groupBy("home", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SLICE_SHINGLES)).alias("slices"))
     nodes = written(nodes.join(sizes, ["home", "kind"]).withColumn("block", F.xxhash64("home", "kind", F.pmod(F.xxhash64("node"), "slices"))).drop("slices"))
     blocks = nodes.groupBy("home", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("far").alias("f0"), F.max("far").alias("f1"))
     blocks = written(blocks)
@@ -198,7 +185,8 @@ def _in_blocks(docs: DataFrame, marked: DataFrame, carriers: DataFrame) -> DataF
     sent = written(sides.join(nodes, "block").join(carriers, "node").select("task", "block", "node", "c", "doc_id"))
     if not sent.take(1):
         return sent.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    whole = sent.join(_texts(docs, sent.select("doc_id")), "doc_id").select("task", "block", "node", "c", "text")
+    texts = texts_of(docs, sent.select("doc_id"), nodes_of).withColumnsRenamed({"node": "_node", "doc_id": "_doc"})
+    whole = sent.join(texts, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("task", "block", "node", "c", "text")
     return whole.groupBy("task").applyInArrow(_search, "a long, b long").distinct()
 
 
@@ -228,15 +216,90 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, type=pa.int64()), "b": pa.array(out_b, type=pa.int64())})
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id) of each row of docs (doc_id long, text).
+def _degrees(docs: DataFrame, nodes: DataFrame, carriers: DataFrame) -> DataFrame:
+    """(node, n_links): rows whose set is another one that links with the node's. nodes: (node, n, rows, c).
 
-    n_links counts the verified links of the row's set with other sets that the search had to look at; links inside a
-    component that is already known stay uncounted. Null and empty texts have no shingles, no links and their own id.
+    Links stay inside components. Those are cut into slices by a class of sizes, of which only a neighbouring one can hold
+    partners, and a hash; a task takes two slices, and small components of a class share one. Every text is sent to as
+    many tasks as its component has slices that can hold partners.
+    """
+    several = nodes.groupBy("c").agg(F.count("*").alias("size")).where("size > 1").select("c")
+    kind = F.floor(F.log("n") / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    own = written(nodes.join(several, "c").withColumn("kind", kind))
+    if not own.take(1):
+        return own.select("node", F.lit(0).cast("long").alias("n_links"))
+    sizes = own.groupBy("c", "kind").agg(F.ceil(F.sum("n") / SLICE_SHINGLES).cast("int").alias("slices"), F.sum("n").alias("shingles"))
+    # a component is small if a slice can hold all of it; several of those go to one task
+    large = sizes.groupBy("c").agg((F.sum("shingles") > SLICE_SHINGLES // 4).alias("large"), F.collect_list(F.struct("kind", "slices")).alias("kinds"))
+    total = own.join(large.where("not large"), "c").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = int(max(1, total * 4 // SLICE_SHINGLES))
+    told = own.join(large, "c")
+    together = told.where("not large").select(F.pmod(F.xxhash64("c"), F.lit(tasks)).alias("task"), F.lit(0).alias("side"), "node", "rows", "c")
+    parts = told.where("large").withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "node"), F.element_at(F.map_from_entries("kinds"), F.col("kind"))).cast("int"))
+    # all slices of the own kind and of both neighbours; of two slices, the lesser one names the task and is its first side
+    mine = F.struct("kind", "slice")
+    partners = F.flatten(F.transform(F.filter("kinds", lambda k: F.abs(k["kind"] - F.col("kind")) <= 1), lambda k: F.transform(F.sequence(F.lit(0), k["slices"] - 1), lambda i: F.struct(k["kind"].alias("kind"), i.alias("slice")))))
+    parts = parts.withColumn("other", F.explode(partners)).select(F.xxhash64("c", F.least(mine, "other"), F.greatest(mine, "other")).alias("task"), F.when(mine == F.col("other"), 0).when(mine < F.col("other"), 1).otherwise(2).alias("side"), "node", "rows", "c")
+    sent = written(together.unionByName(parts).join(carriers, "node"))
+    texts = texts_of(docs, sent.select("doc_id"), nodes_of).withColumnsRenamed({"node": "_node", "doc_id": "_doc"})
+    whole = sent.join(texts, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("task", "side", "node", "rows", "c", "text")
+    return whole.groupBy("task").applyInArrow(_count_links, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of left shares with each of right, as a product of the matrices of those that both sides have."""
+    of = [np.concatenate([np.zeros(0, dtype=np.uint64), *x]) for x in (left, right)]
+    common = np.intersect1d(*of)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, len(common), 4096):
+        part, dense = common[low : low + 4096], []
+        for sets, values in ((left, of[0]), (right, of[1])):
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            m = np.zeros((len(sets), len(part)), dtype=np.float32)
+            m[owner[hit], at[hit]] = 1.0
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _count_links(table: pa.Table) -> pa.Table:
+    """Links of a task's nodes with each other, side 0, or of the nodes of side 1 with those of side 2, in blocks."""
+    node, rows, c, side = (np.array(table.column(x)) for x in ("node", "rows", "c", "side"))
+    sets = [x for chunk in table.column("text").chunks for x in shingle_sets(chunk)]
+    _, first = np.unique(node, return_index=True)  # rows that repeat an id and a text
+    first = first[np.lexsort((node[first], c[first]))]
+    sizes = np.array([len(x) for x in sets])
+    links = np.zeros(len(node), dtype=np.int64)
+    one = first if side[0] == 0 else first[side[first] == 1]
+    two = first if side[0] == 0 else first[side[first] == 2]
+    steps = 256
+    for i in range(0, len(one), steps):
+        a = one[i : i + steps]
+        # nodes are in order of components, so the partners of a block are a stretch
+        low, high = np.searchsorted(c[two], c[a].min(), "left"), np.searchsorted(c[two], c[a].max(), "right")
+        for j in range(low if side[0] else max(low, i), high, steps):
+            b = two[j : min(high, j + steps)]
+            shared = _shared([sets[x] for x in a], [sets[x] for x in b])
+            hit = (100 * shared >= PERCENT * (sizes[a][:, None] + sizes[b][None, :] - shared)) & (node[a][:, None] != node[b][None, :])
+            links[a] += hit @ rows[b]
+            if side[0] or j > i:
+                links[b] += rows[a] @ hit
+    return pa.table({"node": pa.array(node[first]), "n_links": pa.array(links[first])})
+
+
+def jaccard_components(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, n_links, component_id) of each row of docs (doc_id long, text); with_text_hash also component and text_hash.
+
+    n_links counts the other rows that the row links with, rows of an equal set included. Null and empty texts have no
+    shingles, no links and their own id.
     """
     spark = docs.sparkSession
-    members = written(docs.mapInArrow(_members, "doc_id long, node long, n long"))
-    carriers = members.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    docs = docs.select("doc_id", "text")
+    members = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_members, "doc_id long, text_hash long, node long, n long"))
+    carriers = written(members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.count("*").alias("rows")))
+    sizes, carriers = carriers, carriers.select("node", "doc_id")
     shape = "node long, n int, tokens array<long>"
     first = docs.mapInArrow(_prefixes(None, True), shape).select(F.explode("tokens").alias("token"))
     counts = written(first.groupBy("token").count().where(F.col("count") > LONG))
@@ -272,13 +335,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = links.union(_verified(docs, pairs, carriers).where("linked").select("a", "b")).union(_in_blocks(docs, marked, carriers))
     links = written(links)
     classes = connected_components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(classes, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    nodes = written(nodes)
-    least = nodes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "c").join(degrees, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    nodes = written(sizes.join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    degrees = _degrees(docs, nodes.select("node", "n", "rows", "c"), carriers)
+    least = nodes.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = nodes.join(least, "c").join(degrees, "node", "left").select("node", "c", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     found = members.join(named, "node", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # rows without words are components of their own
+    more = [F.coalesce("c", F.xxhash64(F.lit("no words"), "doc_id", "text_hash")).alias("component"), "text_hash"] if with_text_hash else []
+    return found.select(*more, "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -288,7 +352,8 @@ def _typed(docs: DataFrame) -> DataFrame:
 def op5_ngram_join(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Set sizes and components of all documents under links of five-word shingles at 75 %.
 
-    Rows that repeat an id are rows of their own; a null id takes part in links and has the least id reachable, or null.
+    Rows that repeat an id are rows of their own, told apart by their sets; a null id takes part in links and has the
+    least id reachable, or null. n_links counts the other rows that a row links with. Further columns are ignored.
     An empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
@@ -296,10 +361,20 @@ def op5_ngram_join(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFra
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component; documents without an id stay, rows that repeat one become one."""
-    found = jaccard_components(_typed(docs))
-    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.where("_rows > 1").take(1):
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    """The document with the least id of each component, in the columns of docs.
+
+    Documents without words are components of their own; documents without an id stay if their component has no id at
+    all. Where rows share that least id, one stays: of those that link, the one whose text has the least hash. An empty
+    table gives no rows; further columns may have any name.
+    """
+    plain, name = hidden(docs)
+    rows = plain.select("*", F.col(name["doc_id"]).cast("long").alias("_doc"), F.col(name["text"]).cast("string").alias("_text"))
+    found = jaccard_components(rows.select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text")), with_text_hash=True)
+    stay = written(found.where("doc_id <=> component_id").groupBy("component", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("rows")))
+    own = rows.withColumn("_hash", F.xxhash64("_text"))
+    same = F.col("_doc").eqNullSafe(stay["doc_id"]) & (F.col("_hash") == stay["text_hash"])
+    kept = own.join(stay, same, "left_semi")
+    if stay.where("rows > 1 AND doc_id IS NOT NULL").take(1):  # rows that repeat an id and a text are one
+        again = kept.where(F.col("_doc").isNotNull()).dropDuplicates(["_doc", "_hash"])
+        kept = again.unionByName(kept.where(F.col("_doc").isNull()))
+    return kept.select(*plain.columns).toDF(*docs.columns)

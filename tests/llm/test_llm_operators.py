@@ -395,3 +395,51 @@ def test_quality_on_held_out_rows(spark, labelled, none):
     assert quality.op8_quality(spark, "", none, labels).count() == 0
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0)], docs.schema)
     assert {r.score for r in quality.op8_quality(spark, "", odd, labels.limit(0)).collect()} == {0.5}
+
+
+def test_join_counts_links_and_tells_repeated_ids_apart(spark):
+    """Ids that repeat with other texts, null ids, chains and large groups of near copies: links and components by brute force."""
+    rng = np.random.default_rng(21)
+    rows, base = [], sentence(rng, 70).split()
+    for i in range(60):  # near copies that link with some of each other only
+        w = list(base)
+        for at in rng.choice(70, size=int(rng.integers(0, 4)), replace=False):
+            w[at] = f"x{rng.integers(4)}y{at}"
+        rows.append((i, " ".join(w)))
+    chain = sentence(rng, 120).split()
+    rows += [(100 + i, " ".join(chain[4 * i : 4 * i + 60])) for i in range(16)]
+    rows += [(3, sentence(rng, 30)), (None, " ".join(base)), (None, sentence(rng, 20)), (5, rows[70][1]), (7, None), (7, ""), (200, sentence(rng, 20000)), (200, "w " * 9000)]
+    sets = [shingle_set(t) for _, t in rows]
+    linked = lambda a, b: bool(sets[a] & sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    n = len(rows)
+    degree = [sum(linked(a, b) for b in range(n) if b != a) for a in range(n)]
+    root = list(range(n))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                root[find(a)] = find(b)
+    least = collections.defaultdict(list)
+    for i in range(n):
+        least[find(i)].append(rows[i][0])
+    name = lambda i: rows[i][0] if not sets[i] else min((x for x in least[find(i)] if x is not None), default=None)
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, node int, c int, n_links int")
+    got = ngram_join.op5_ngram_join(spark, "", docs).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=key) == sorted(((rows[i][0], len(sets[i]), name(i), degree[i]) for i in range(n)), key=key)
+    kept = ngram_join.one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect() if r.doc_id in (200, 7)) == ["", "", rows[-2][1], rows[-1][1]][0:4]
+
+
+def test_link_counts_by_slices(spark, monkeypatch):
+    """Components in several slices give the same counts."""
+    rng = np.random.default_rng(22)
+    base, rows = sentence(rng, 40).split(), []
+    for i in range(90):
+        w = base[: int(rng.integers(28, 41))]
+        w[int(rng.integers(len(w)))] = f"z{i % 7}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.op5_ngram_join(spark, "", docs).collect()}
+    monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 256)
+    assert {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.op5_ngram_join(spark, "", docs).collect()} == want and max(n for _, n in want.values()) > 10
