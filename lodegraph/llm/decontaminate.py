@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm._rows import hidden
 from lodegraph.sources.tables import written
 
 #: Words of a shingle, and the least weighted Jaccard similarity of a leak.
@@ -160,7 +161,13 @@ def op4_decontamination(spark, sf_dir: str, docs: DataFrame | None = None, bench
 
 
 def without_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no benchmark item leaks into."""
-    leaks = written(find_leaks(_typed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leak"), "text_hash").distinct())
-    same = docs["doc_id"].cast("long").eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs["text"].cast("string")) == leaks["text_hash"])
-    return docs.join(leaks, same, "left_anti")
+    """The documents that no benchmark item leaks into, in the columns of docs.
+
+    Rows are told apart by id and text: copies under other ids are judged alike, repeated rows go together. Null and empty
+    texts and an empty benchmark have no leaks, an empty table gives no rows, columns may have any name.
+    """
+    plain, name = hidden(docs)
+    ident, text = F.col(name["doc_id"]).cast("long"), F.col(name["text"]).cast("string")
+    leaks = find_leaks(plain.select(ident.alias("doc_id"), text.alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = written(leaks.select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_hash")).distinct())
+    return plain.join(leaks, ident.eqNullSafe(F.col("_leak")) & (F.xxhash64(text) == F.col("_hash")), "left_anti").toDF(*docs.columns)

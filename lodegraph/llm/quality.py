@@ -1,7 +1,7 @@
 """Quality by co-training: a classifier of the text and a classifier of the page's metadata teach each other.
 
-The text view sees what the words are like: letter case, symbols, digits, repetition, word lengths. The metadata view
-sees language, source, recorded length and page layout. Both start from the labelled sample; in each round each scores
+The text view sees what the text is like: letter case, symbols, digits, repetition, word lengths, lines. The metadata
+view sees what is recorded beside it: language, source and length; nothing in it is read from the text. Both start from the labelled sample; in each round each scores
 a sample without labels and hands the rows it is surest of, as far as its calibration supports them, to the other's
 training set. Platt scaling on a fold kept aside calibrates both, and a logistic regression on their calibrated log
 odds, fitted on that fold, gives the score of every document.
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm._linear import fit_logistic, sigmoid
+from lodegraph.llm._rows import hidden
 from lodegraph.llm._text import mixed, text_slices, words
 from lodegraph.llm.toxicity import sampled_labels
 from lodegraph.sources.tables import written
@@ -32,8 +33,8 @@ BINS, BUCKETS = 10, 64
 #: A document is rejected below this score.
 THRESHOLD = 0.3
 
-TEXT = ("upper", "exclaim", "symbol", "digit", "bar", "distinct", "repeated", "mean_length", "short", "all_upper", "ends_odd", "log_words")
-META = ("n_chars", "n_bytes", "lines", "mean_line", "bytes_a_char", "off_length")
+TEXT = ("upper", "exclaim", "symbol", "digit", "bar", "distinct", "repeated", "mean_length", "short", "all_upper", "ends_odd", "log_words", "lines", "mean_line", "bytes_a_char")
+META = ("n_chars", "recorded")
 CATEGORIES = ("lang", "source")
 
 _UPPER = np.zeros(256, dtype=np.int32)
@@ -93,13 +94,11 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         view[:, 10] = per_row((_LETTER[ends] == 0) & (ends != 46) & (ends != 44)) / some
         view[:, 11] = np.log1p(count)
         chars, lines = _sums(_HEAD[data], starts), _sums(data == 10, starts) + 1
-        page = meta[low:high]
-        page[:, 0] = np.log1p(np.maximum(recorded[low:high], 0))
-        page[:, 1] = np.log1p(size)
-        page[:, 2] = np.log1p(lines)
-        page[:, 3] = np.log1p(chars / lines)
-        page[:, 4] = size / np.maximum(chars, 1)
-        page[:, 5] = np.abs(chars - recorded[low:high]) > 0
+        view[:, 12] = np.log1p(lines)
+        view[:, 13] = np.log1p(chars / lines)
+        view[:, 14] = size / np.maximum(chars, 1)
+    meta[:, 0] = np.log1p(np.maximum(recorded, 0))
+    meta[:, 1] = recorded >= 0
     buckets = np.zeros((n, len(CATEGORIES)), dtype=np.int64)
     for j, name in enumerate(CATEGORIES):
         codes = batch.column(name).dictionary_encode()
@@ -174,9 +173,11 @@ def _gathered(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model from bounded samples of documents with and without labels; without labels all scores are one half."""
     known = sampled_labels(labels, docs, "quality", LABELLED, more=(*CATEGORIES, "n_chars"))
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(43), "doc_id"), "doc_id").limit(UNLABELLED)
-    ids = written(ids.join(labels.select("doc_id").distinct(), "doc_id", "left_anti"), 1)
-    others = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *CATEGORIES, "n_chars").join(F.broadcast(ids), "doc_id")  # UNLABELLED bounds it
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().join(labels.select(F.col("doc_id").cast("long")), "doc_id", "left_anti")
+    ids = written(ids.orderBy(F.xxhash64(F.lit(43), "doc_id"), "doc_id").limit(UNLABELLED), 1)
+    columns = (F.coalesce("text", F.lit("")).alias("text"), *CATEGORIES, "n_chars")
+    others = docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")  # UNLABELLED bounds it, and of rows that repeat an id the least counts
+    others = others.groupBy("doc_id").agg(F.min(F.struct("text", *CATEGORIES, "n_chars")).alias("row")).select("doc_id", "row.*")
     ids, label, text, meta, buckets = _gathered(known.unionByName(others.withColumn("label", F.lit(-1))))
     edges = [[np.unique(np.quantile(x[:, j], np.arange(1, BINS + 1) / (BINS + 1))) if len(x) else np.zeros(0) for j in range(x.shape[1])] for x in (text, meta)]
     ats = [_one_hot(text, edges[0], None), _one_hot(meta, edges[1], buckets)]
@@ -185,9 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return co_train([_dense(a, w) for a, w in zip(ats, widths, strict=True)], label, fold) | {"edges": edges}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars among their columns) with text_score, meta_score and score, one pass."""
-    schema = docs.withColumns({c: F.lit(0.0) for c in ("text_score", "meta_score", "score")}).schema
+def score(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
+    """docs (text, lang, source, n_chars among their columns) with text_score, meta_score and score, their names after prefix, one pass."""
+    names = [f"{prefix}{c}" for c in ("text_score", "meta_score", "score")]
+    schema = docs.withColumns({c: F.lit(0.0) for c in names}).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +198,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for at, (coef, bias), (slope, shift) in zip((_one_hot(text, model["edges"][0], None), _one_hot(meta, model["edges"][1], buckets)), model["models"], model["scales"], strict=True):
                 odds.append(slope * (coef[at].sum(axis=1) + bias) + shift)
             total = odds[0] * model["mix"][0] + odds[1] * model["mix"][1] + model["bias"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(sigmoid(x)) for x in (*odds, total)]], names=[*batch.schema.names, "text_score", "meta_score", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(sigmoid(x)) for x in (*odds, total)]], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(scored, schema)
 
@@ -209,7 +211,8 @@ def op8_quality(spark, sf_dir: str, docs: DataFrame | None = None, labels: DataF
     """Scores of all documents: text_score, meta_score, score (label 1 likelier) and keep (score at least THRESHOLD).
 
     Null texts count as empty, null languages and sources share a bucket, a null n_chars counts as not recorded, repeated
-    rows are scored one by one. An empty table gives no rows; without labels every score is 0.5 and all are kept.
+    rows are scored one by one, ties in the order of drawing don't arise (it ends with the id). Further columns are
+    ignored. An empty table gives no rows; without labels every score is 0.5 and all are kept.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet") if labels is None else labels
@@ -219,7 +222,16 @@ def op8_quality(spark, sf_dir: str, docs: DataFrame | None = None, labels: DataF
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their columns."""
-    typed = _typed(docs)
-    model = fit(typed.withColumn("doc_id", F.col("doc_id").cast("long")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(typed, model).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    """The documents that the classifier doesn't reject, in the columns of docs.
+
+    Rows are scored one by one, as by op8_quality, so nulls, empty texts and repeated rows count as there; an empty table
+    gives no rows; further columns may have any name.
+    """
+    plain, name = hidden(docs)
+    used = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    columns = [F.col(name[c]).cast(kind).alias(c) for c, kind in used.items()]
+    model = fit(plain.select(*columns), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # the other columns travel beside those that are scored, which have the stage's types
+    rest = [name[c] for c in docs.columns if c not in used]
+    good = score(plain.select(*columns, *rest), model, "_").where(F.col("_score") >= THRESHOLD)
+    return good.select(*[c if c in used else name[c] for c in docs.columns]).toDF(*docs.columns)
