@@ -443,3 +443,23 @@ def test_link_counts_by_slices(spark, monkeypatch):
     want = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.op5_ngram_join(spark, "", docs).collect()}
     monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 256)
     assert {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.op5_ngram_join(spark, "", docs).collect()} == want and max(n for _, n in want.values()) > 10
+
+
+def test_shards_balance_large_and_repeated_records(spark):
+    rng = np.random.default_rng(31)
+    sizes = [int(x) for x in rng.lognormal(5, 1.5, 3000)] + [20_000, 15_000]
+    rows = [(i % 50, i, n) for i, n in enumerate(sizes)] + [(7, 7, 90)] * 3000 + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "h long, id long, bytes long")
+    got = sharding.shard(docs, "h", "id", "bytes", 8).collect()
+    assert sorted((r.h or 0, r.id or 0, r.bytes or 0) for r in got) == sorted((a or 0, b or 0, c or 0) for a, b, c in rows)
+    sums, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sums[r.shard] += max(1, r.bytes or 1)
+        slots[r.shard].append(r.slot)
+    mean = sum(sums.values()) / 8
+    assert max(abs(v - mean) for v in sums.values()) <= mean / 40 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    giant = sharding.shard(docs.limit(200).union(spark.createDataFrame([(1, 1, 10**7)], docs.schema)), "h", "id", "bytes", 4).collect()
+    alone = next(r.shard for r in giant if r.bytes == 10**7)
+    assert sum(r.shard == alone for r in giant) <= 1 and len({r.shard for r in giant}) == 4
+    where, lacking = sharding._lacking([9, 5, 4], 30, 3)
+    assert sorted(where) == [0, 1, 2] and sorted(lacking) == pytest.approx([1, 5, 6])
