@@ -5,7 +5,9 @@ lane modulo a power of two. Sums do not depend on order, equal multisets have eq
 paragraph adds or subtracts one vector (`combined`). The vector has two parts: 16 lanes modulo 2**32 from SHA-256 of
 the paragraph, for equality, and counters modulo 2**20 of the hash bits of its phrases, for likeness: of the m phrases
 of a document, lane j counts those whose j-th bit is set, so 2 * count - m is a random projection of the multiset of
-phrases, and the cosine between two such vectors estimates the cosine between the multisets.
+phrases, and the cosine between two such vectors estimates the cosine between the multisets. Phrases end at punctuation
+and at some of the spaces, which the last letter of the word before decides, so a text needs no punctuation and a word
+that is added or taken away changes one phrase.
 """
 
 from __future__ import annotations
@@ -13,14 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.llm.sharding import range_of
+
 #: Lanes of the equality part and their modulus.
 WIDE, WIDE_BITS = 16, 32
 #: Counters of the likeness part: three in each of 20 longs for each seed, 20 bits apart.
 SEEDS, STRIDE, PACKED = (1, 2), 20, 3
 _ONES = sum(1 << (STRIDE * i) for i in range(PACKED))
 _FULL = (1 << (STRIDE * PACKED)) - 1
-#: Rows that a bucket of neighbouring ids should hold, and buckets at most (their bounds travel in the plan).
-ROWS_PER_BUCKET, MAX_BUCKETS = 2_000, 65_536
+#: Where phrases end: at punctuation, and at a space after a letter or digit of code 0 modulo 4 or one beyond ASCII.
+ENDS = "[.,;:!?|\\n\u3001\u3002\uff0c\uff01\uff1f]+\\s*|(?<=[dhlptxDHLPTX048]|[^\\x00-\\x7f])\\x20+"
+#: Rows that a bucket of neighbouring ids should hold, buckets at most (their bounds travel in the plan), sampled rows for each.
+ROWS_PER_BUCKET, MAX_BUCKETS, OVERSAMPLE = 2_000, 16_384, 20
 
 
 def _masked(value: Column, mask: int) -> Column:
@@ -35,7 +41,7 @@ def paragraphs(text: Column) -> Column:
 def vector(text: Column) -> Column:
     """The fingerprint of a text as array<long>: WIDE lanes, then the packed counters of each seed, then the phrase count."""
     lines = paragraphs(text)
-    phrases = F.filter(F.split(F.coalesce(text, F.lit("")), "[.,;:!?|\\n]+\\s*"), lambda p: p != F.lit(""))
+    phrases = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda p: p != F.lit(""))
     digests = F.transform(lines, lambda p: F.sha2(p, 256))
     zeros = F.array_repeat(F.lit(0).cast("long"), WIDE)
     lanes = F.array(*[F.lit(i) for i in range(WIDE)])
@@ -61,12 +67,12 @@ def combined(one: Column, other: Column, sign: int = 1) -> Column:
 
 
 def projection(fingerprint: Column) -> Column:
-    """The likeness counters as signed sums, one for each hash bit."""
+    """The likeness counters as signed sums, one for each hash bit; sums are modulo 2**20, between -2**19 and 2**19."""
     n = STRIDE * len(SEEDS)
     count = F.get(fingerprint, F.lit(WIDE + n))
     packed = F.slice(fingerprint, WIDE + 1, n)
-    lane = lambda v, i: _masked(F.shiftright(v, STRIDE * i), (1 << STRIDE) - 1)
-    return F.flatten(F.transform(packed, lambda v: F.array(*[(lane(v, i) * 2 - count).cast("double") for i in range(PACKED)])))
+    lane = lambda v, i: _masked(F.shiftright(v, STRIDE * i) * 2 - count + F.lit(1 << (STRIDE - 1)), (1 << STRIDE) - 1) - F.lit(1 << (STRIDE - 1))
+    return F.flatten(F.transform(packed, lambda v: F.array(*[lane(v, i).cast("double") for i in range(PACKED)])))
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -86,37 +92,42 @@ def as_string(fingerprint: Column) -> Column:
     return F.lower(F.array_join(F.concat(wide, rest, F.array(F.lpad(F.hex(F.get(fingerprint, F.lit(WIDE + n))), 8, "0"))), ""))
 
 
-def with_next(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, ident: str, columns: list[str], seed: int = 23) -> DataFrame:
     """docs with next_<column> for each of columns: those of the row that follows by ident, the first row following the last.
 
-    Rows go to buckets of neighbouring ids whose bounds are ids of the table, and the rows at a bound also go to the
-    bucket before it, so one shuffle brings each row and its successor together. Ties in ident are ordered by
-    the first of columns; null ids come last. A single row follows itself.
+    Ties in ident are ordered by a hash of the first of columns, then by it; null ids come last, and a single row follows
+    itself. Rows go to buckets of neighbours whose bounds are rows of a sample, and rows equal to a bound also go to the
+    bucket before it, so one shuffle brings each row and its successor together. Ids that repeat are cut by the hash; only
+    rows that are equal in id and text stay together.
     """
-    n = docs.count()
+    keys = [F.col(ident).isNull().cast("long").alias("k1"), F.coalesce(F.col(ident), F.lit(0)).cast("long").alias("k2"), F.xxhash64(columns[0]).alias("k3")]
+    placed = docs.select(*keys)
+    n, least = placed.agg(F.count("*"), F.min(F.struct("k1", "k2", "k3"))).first()
     parts = max(1, min(MAX_BUCKETS, n // ROWS_PER_BUCKET))
-    got = docs.agg(F.min(ident), F.percentile_approx(ident, [i / parts for i in range(1, parts)] or [0.5], 100 * parts + 10_000)).first()
-    bounds = sorted({got[0], *(got[1] if parts > 1 else [])}) if got[0] is not None else []
-    at = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
-    steps = F.array(*[F.lit(1 << s) for s in reversed(range(max(1, len(bounds).bit_length())))])
-    none_last = F.coalesce(F.col(ident), F.lit(2**63 - 1))
-    # bounds that are at most the id, by binary search; the first bound is the least id, so all are in bucket 1 or later
-    bucket = F.aggregate(steps, F.lit(0), lambda i, w: F.when((i + w <= F.lit(len(bounds))) & (F.get(at, i + w - 1) <= none_last), i + w).otherwise(i)) if bounds else F.lit(1)
+    chance = parts * OVERSAMPLE / max(n, 1)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "k3"), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))
+    sample = sorted(tuple(r) for r in placed.where(drawn).distinct().collect()) if parts > 1 else []  # about OVERSAMPLE rows a bucket
+    bounds = sorted({tuple(least), *(sample[len(sample) * i // parts] for i in range(1, parts) if sample)}) if n else []
+    k = [F.col(c) for c in ("_k1", "_k2", "_k3")]
+    rows = docs.withColumns({f"_k{i + 1}": c for i, c in enumerate(keys)}).withColumn("_b", range_of(bounds, *k) if bounds else F.lit(1))
+    # the first bound is the least row, so all rows are in bucket 1 or later
     last = max(1, len(bounds))
-    rows = docs.withColumn("_b", bucket)
-    at_bound = (F.col(ident) == F.get(at, F.col("_b") - 1)) if bounds else F.lit(True)
+    at = lambda i: F.get(F.array(*[F.lit(b[i]).cast("long") for b in bounds]), F.col("_b") - 1)
+    at_bound = (k[0] == at(0)) & (k[1] == at(1)) & (k[2] == at(2)) if bounds else F.lit(True)
     before = F.when(F.col("_b") == 1, F.lit(last)).otherwise(F.col("_b") - 1)
-    rows = rows.withColumn("_to", F.explode(F.when(at_bound, F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy")), F.struct(before.alias("b"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy"))))))
-    rows = rows.select(*docs.columns, F.col("_to.b").alias("_b"), F.col("_to.copy").alias("_copy"))
-    order = Window.partitionBy("_b").orderBy("_copy", F.col(ident).asc_nulls_last(), columns[0])
-    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_copy")).drop("_b", "_copy")
+    own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy"))
+    rows = rows.withColumn("_to", F.explode(F.when(at_bound, F.array(own, F.struct(before.alias("b"), F.lit(True).alias("copy")))).otherwise(F.array(own))))
+    rows = rows.select(*docs.columns, *k, F.col("_to.b").alias("_b"), F.col("_to.copy").alias("_copy"))
+    order = Window.partitionBy("_b").orderBy("_copy", *k, columns[0])
+    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_copy")).drop("_b", "_copy", "_k1", "_k2", "_k3")
 
 
 def op7_fingerprint(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     Null texts are empty; an empty text has the all-zero fingerprint, which is 1 alike to itself and 0 to any other with
-    phrases. Repeated rows are rows of their own, ordered by text where ids tie. An empty table gives no rows.
+    phrases. Repeated rows are rows of their own, ordered by a hash of the text where ids tie; null ids come last. Further
+    columns are ignored. An empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -139,6 +139,37 @@ def test_fingerprints(spark, docs, texts, none):
     assert fingerprint.op7_fingerprint(spark, "", none).count() == 0
 
 
+def phrases(text):
+    return collections.Counter(p for p in re.split(fingerprint.ENDS, text or "") if p)
+
+
+def test_likeness_estimates_the_cosine_of_phrases(spark):
+    """Texts with and without punctuation, repeated and null ids, many buckets: successors and likeness by brute force."""
+    rng = np.random.default_rng(17)
+    rows = [(int(i), sentence(rng, int(rng.integers(60, 300))).replace(" a", ", a" if i % 2 else " a")) for i in range(60)]
+    rows += [(1000, sentence(rng, 80)) for _ in range(8)] + [(None, sentence(rng, 80)) for _ in range(8)] + [(2000, "x " * 400_000)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, own int, k1 int")
+    import xxhash
+
+    signed64 = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if x >> 63 else 0)
+    plain = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed64(r[1])))
+    want = {}
+    cosine = lambda a, b: sum(a[k] * b[k] for k in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+    for k, (i, t) in enumerate(plain):
+        nxt, h = plain[(k + 1) % len(plain)][1], len(t) // 2
+        edited = t[: len(t) - h] + nxt[:h]
+        want[hashlib.sha256(edited.encode()).hexdigest()] = (i, cosine(phrases(t), phrases(edited)), cosine(phrases(t), phrases(nxt)))
+    for size in (2_000, 5):
+        fingerprint.ROWS_PER_BUCKET, kept = size, fingerprint.ROWS_PER_BUCKET
+        try:
+            got = fingerprint.op7_fingerprint(spark, "", docs).collect()
+        finally:
+            fingerprint.ROWS_PER_BUCKET = kept
+        assert len(got) == len(rows) and {r.edited_sha256: r.doc_id for r in got} == {k: v[0] for k, v in want.items()}
+        off = [abs(r.near_edited - want[r.edited_sha256][1]) for r in got] + [abs(r.near_next - want[r.edited_sha256][2]) for r in got]
+        assert np.mean(off) < 0.08 and max(off) < 0.4 and np.median([r.near_edited for r in got]) > 0.4
+
+
 def test_fingerprints_are_homomorphic(spark):
     v = fingerprint.vector
     row = spark.createDataFrame([("a, b.\nc d", "e f\ng", "c d\ng\na, b.\ne f", "a, b.\nc d\ne f\ng")], "a string, b string, shuffled string, both string").select(
