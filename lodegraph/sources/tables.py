@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_OWN: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,19 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
+    """A folder of this application in the one that the cluster names in spark.checkpoint.dir, or in the warehouse where it is unset.
+
+    It is deleted when the application ends.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lodegraph-')}"
-    return _OWN[app]
+    if app not in _FOLDERS:
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/lodegraph-{uuid.uuid4().hex}")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = path.toString()
+    return _FOLDERS[app]
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application so far; DataFrames that read them can't be used after it."""
+    if folder := _FOLDERS.pop(spark.sparkContext.applicationId, None):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(frame: DataFrame, partitions: int | None = None) -> DataFrame:
     """frame written once to the shared folder and read back: lineage ends there and lost executors cost nothing."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/lodegraph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     (frame.coalesce(partitions) if partitions else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
