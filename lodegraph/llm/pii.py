@@ -25,11 +25,13 @@ from lodegraph.sources.tables import written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity at most; tokens an island takes in beside those with a digit or @.
-MAX_TOKENS, MARGIN = 5, 1
-#: Documents to fit on at most, drawn by a hash of their id, and islands among them.
-SAMPLE, ISLANDS = 4_000, 3_000
+MAX_TOKENS, MARGIN = 7, 1
+#: Documents to fit on at most, drawn by a hash of id and text, islands among them, and tokens of one; longer ones are cut.
+SAMPLE, ISLANDS, PIECE = 4_000, 3_000, 40
+#: Weight in training of an island in which the patterns see nothing.
+UNMARKED = 0.2
 #: How much a segmentation with an added span must score above the best one without it.
-MARGIN_SCORE = 2.0
+MARGIN_SCORE = 0.5
 
 # fixed values: the base patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -190,6 +192,8 @@ def rewritten(kind: str, span: str, seed: int) -> str:
 def _examples(text: str, rewrite: bool) -> Iterator[tuple[str, list[tuple[int, int]], dict]]:
     """(text, tokens, gold: kind of each candidate that is an entity) of each island."""
     spans = sorted(base_spans(text))
+    if rewrite and not spans:
+        return
     if rewrite:
         pieces, at, moved = [], 0, []
         for n, (start, end, kind) in enumerate(spans):
@@ -202,7 +206,7 @@ def _examples(text: str, rewrite: bool) -> Iterator[tuple[str, list[tuple[int, i
             moved.append((here, here + len(new), kind))
             at = end
         text, spans = "".join([*pieces, text[at:]]), moved
-    for tokens in islands(text):
+    for tokens in (island[i : i + PIECE] for island in islands(text) for i in range(0, len(island), PIECE)):
         gold = {}
         for start, end, kind in spans:
             inside = [t for t, (a, b) in enumerate(tokens) if a < end and start < b]
@@ -213,10 +217,10 @@ def _examples(text: str, rewrite: bool) -> Iterator[tuple[str, list[tuple[int, i
 
 def fit(docs: DataFrame, ident: str, text: str) -> dict[str, np.ndarray]:
     """Feature weights from SAMPLE documents with a digit or @ at most; without any there are none and nothing is added."""
-    key = F.xxhash64(F.lit(47), F.coalesce(F.col(ident).cast("string"), F.lit("")))
-    chosen = docs.where(F.col(text).rlike("[0-9@]")).select(key.alias("k"), F.col(ident).alias("i"))
-    chosen = written(chosen.orderBy("k", "i").limit(SAMPLE).distinct(), 1)
-    sample = docs.select(key.alias("k"), text).join(F.broadcast(chosen.select("k").distinct()), "k")  # SAMPLE bounds it
+    key = F.xxhash64(F.lit(47), F.col(ident).cast("string"), F.col(text))  # null ids too differ by their text
+    sample = docs.where(F.col(text).rlike("[0-9@]")).select(key.alias("k"), text)
+    chosen = written(sample.select("k").distinct().orderBy("k").limit(SAMPLE), 1)
+    sample = sample.join(F.broadcast(chosen), "k").dropDuplicates(["k"])  # SAMPLE bounds both
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +229,7 @@ def fit(docs: DataFrame, ident: str, text: str) -> dict[str, np.ndarray]:
                 for rewrite in (False, True):
                     for n, (changed, tokens, gold) in enumerate(_examples(whole or "", rewrite)):
                         segments = _segments(changed, tokens)
-                        if len(tokens) <= 40 and segments:
+                        if segments:
                             rows.append({"k": k ^ (n << 1 | rewrite), "n": len(tokens), "i": [a for a, _ in segments], "j": [b for _, b in segments], "gold": [gold.get(at, -1) for at in segments], "names": list(segments.values())})
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
@@ -235,14 +239,18 @@ def fit(docs: DataFrame, ident: str, text: str) -> dict[str, np.ndarray]:
     return train([(r["n"], {(i, j): names for i, j, names in zip(r["i"], r["j"], r["names"], strict=True)}, {(i, j): g for i, j, g in zip(r["i"], r["j"], r["gold"], strict=True) if g >= 0}) for r in rows])
 
 
-def train(examples: list[tuple[int, dict, dict]], rounds: int = 6, rate: float = 0.5, ridge: float = 1e-3, least: int = 2) -> dict[str, np.ndarray]:
-    """Weights that maximise the conditional likelihood of the gold segmentations, by AdaGrad over the islands."""
+def train(examples: list[tuple[int, dict, dict]], rounds: int = 12, rate: float = 0.1, ridge: float = 1e-3, least: int = 2) -> dict[str, np.ndarray]:
+    """Weights that maximise the conditional likelihood of the gold segmentations, by AdaGrad over the islands.
+
+    An island without an entity may hold one that the patterns don't see, so it counts UNMARKED of one with.
+    """
     counts = Counter(f for _, segments, _ in examples for names in segments.values() for f in names)
     weights = {f: np.zeros(len(KINDS)) for f, c in counts.items() if c >= least}
     square = {f: np.full(len(KINDS), 1e-6) for f in weights}
     for _ in range(rounds if weights else 0):
         for n, segments, gold in examples:
             posterior, _ = _marginals(n, _scores(segments, weights))
+            share = 1.0 if gold else UNMARKED
             slope: dict[str, np.ndarray] = {}
             for at, names in segments.items():
                 step = -posterior[at]
@@ -253,7 +261,7 @@ def train(examples: list[tuple[int, dict, dict]], rounds: int = 6, rate: float =
                     continue
                 for f in names:
                     if f in weights:
-                        slope[f] = slope.get(f, 0.0) + step
+                        slope[f] = slope.get(f, 0.0) + share * step
             for f, g in slope.items():
                 g = g - ridge * weights[f]
                 square[f] += g * g
@@ -261,30 +269,33 @@ def train(examples: list[tuple[int, dict, dict]], rounds: int = 6, rate: float =
     return {f: w for f, w in weights.items() if np.abs(w).max() > 1e-3}
 
 
-def added_spans(text: str, base: list[Span], weights: dict[str, np.ndarray]) -> list[Span]:
-    """Entities of the field's best segmentations that overlap no base span."""
+def added_spans(text: str, base: list[Span], weights: dict[str, np.ndarray]) -> list[tuple[int, int, str, float]]:
+    """Entities of the field's best segmentations that overlap no base span, with the posterior of each."""
     spans = []
     for tokens in islands(text) if weights else ():
         if all(any(s <= a and b <= e for s, e, _ in base) for a, b in tokens if _TRIGGER.search(text[a:b])):
             continue  # every token that could start an entity lies in a base span
         segments = {(i, j): names for (i, j), names in _segments(text, tokens).items() if not any(s < tokens[j - 1][1] and tokens[i][0] < e for s, e, _ in base)}
-        spans += [(tokens[i][0], tokens[j - 1][1], KINDS[k]) for i, j, k in decode(len(tokens), _scores(segments, weights))]
+        scores = _scores(segments, weights)
+        if best := decode(len(tokens), scores):
+            posterior, _ = _marginals(len(tokens), scores)
+            spans += [(tokens[i][0], tokens[j - 1][1], KINDS[k], float(posterior[i, j][k])) for i, j, k in best]
     return spans
 
 
 def find(docs: DataFrame, ident: str, text: str, weights: dict[str, np.ndarray]) -> DataFrame:
     """(ident, spans: array of start, end, kind, value, base), one row a document; null texts have none."""
-    schema = docs.select(ident).schema.simpleString()[7:-1] + ", spans array<struct<start:int,end:int,kind:string,value:string,base:boolean>>"
+    schema = docs.select(ident).schema.simpleString()[7:-1] + ", spans array<struct<start:int,end:int,kind:string,value:string,base:boolean,posterior:double>>"
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("base", pa.bool_())]))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("base", pa.bool_()), ("posterior", pa.float64())]))
         for batch in batches:
             rows = []
             for value in batch.column(text):
                 whole = value.as_py() or ""
                 base = base_spans(whole)
-                every = [(*s, True) for s in base] + [(*s, False) for s in added_spans(whole, base, weights)]
-                rows.append([{"start": a, "end": b, "kind": k, "value": whole[a:b], "base": own} for a, b, k, own in sorted(every)])
+                every = [(*s, True, 1.0) for s in base] + [(*s[:3], False, s[3]) for s in added_spans(whole, base, weights)]
+                rows.append([{"start": a, "end": b, "kind": k, "value": whole[a:b], "base": own, "posterior": p} for a, b, k, own, p in sorted(every)])
             yield pa.RecordBatch.from_arrays([batch.column(ident), pa.array(rows, type=kind)], names=[ident, "spans"])
 
     return docs.select(ident, text).mapInArrow(scanned, schema)
@@ -294,9 +305,11 @@ def op6_pii(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Counts and digests of the personal data in all documents.
 
     Null texts count as empty and give zero counts, the digest of the empty text and empty spans; repeated rows are rows
-    of their own. n_* and base_sha256 are of the fixed patterns; spans also has what the field adds.
+    of their own; an empty table gives no rows; of segmentations that tie, the one that ends sooner stays; further columns
+    are ignored. n_* and base_sha256 are of the fixed patterns; spans also has what the field adds, and posteriors the
+    field's certainty of each of spans (1 for those of the patterns), joined likewise.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     spans = find(docs, "doc_id", "text", fit(docs, "doc_id", "text")).withColumnRenamed("spans", "found")
-    return digests(spans, "found", KINDS, KINDS, flag="base")
+    return digests(spans, "found", KINDS, KINDS, ("posterior", "posteriors"), flag="base")

@@ -22,8 +22,6 @@ from lodegraph.llm._spans import Span, found, joined, sha256
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as log10, from which a value counts as a secret.
 LEAST_LOG10_GUESSES = 8.0
-#: Characters that guess_cost segments by itself, the rest costing brute force; the operator has whole values segmented.
-WINDOW = 64
 
 # fixed values: the base patterns
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -62,15 +60,15 @@ def _alphabet(c: str) -> float:
 
 
 @lru_cache(maxsize=4096)
-def guess_cost(value: str, words: tuple[str, ...] = WORDS, window: int | None = WINDOW) -> float:
-    """log10 of the guesses of the cheapest segmentation of value; empty values cost 0. A window of None takes in all of it.
+def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
+    """log10 of the guesses of the cheapest segmentation of the whole value; empty values cost 0.
 
     best[i] is the least cost of the first i characters. A segment is a dictionary word (its rank, doubled for case and
     for look-alike characters), a date, a repeat of one character or block, a walk along a keyboard row or the alphabet,
     or a brute-force span at its characters' alphabets. Each further segment doubles the guesses for the arrangement.
     """
-    head, tail = (value, "") if window is None else (value[:window], value[window:])
-    lower, n = "".join(low if len(low := c.lower()) == 1 else c for c in head), len(head)
+    head, n = value, len(value)
+    lower = "".join(low if len(low := c.lower()) == 1 else c for c in head)
     plain, ranks, split = lower.translate(_LEET), {w: r for r, w in enumerate(words, 2)}, math.log10(2)
     longest = max(map(len, words), default=0)
     brute = [0.0]
@@ -119,7 +117,7 @@ def guess_cost(value: str, words: tuple[str, ...] = WORDS, window: int | None =
         best[j] = low
         begins[j] = low + split
         least = min(least, low + split - brute[j])
-    return float(best[n]) + sum(math.log10(_alphabet(c)) for c in tail)
+    return float(best[n])
 
 
 def _repeats(text: str, longest: int) -> list[tuple[int, int, int]]:
@@ -165,7 +163,7 @@ def added_spans(text: str, base: list[Span]) -> list[tuple[int, int, str, float]
         end = start + len(value)
         if any(s < end and start < e for s, e, _ in base):
             continue
-        if (cost := guess_cost(value, window=None)) >= LEAST_LOG10_GUESSES:
+        if (cost := guess_cost(value)) >= LEAST_LOG10_GUESSES:
             spans.append((start, end, "guess", cost))
     return spans
 
@@ -181,7 +179,7 @@ def scan(docs: DataFrame, ident: str, text: str) -> DataFrame:
             for value in batch.column(text):
                 whole = value.as_py() or ""
                 base = base_spans(whole)
-                every = [(*s, guess_cost(ASSIGN.match(whole, s[0]).group(2) if s[2] == "assign" else whole[s[0] : s[1]], window=None)) for s in base] + added_spans(whole, base)
+                every = [(*s, guess_cost(ASSIGN.match(whole, s[0]).group(2) if s[2] == "assign" else whole[s[0] : s[1]])) for s in base] + added_spans(whole, base)
                 rows.append([{"start": a, "end": b, "kind": k, "value": whole[a:b], "cost": c} for a, b, k, c in sorted(every)])
             yield pa.RecordBatch.from_arrays([batch.column(ident), pa.array(rows, type=kind)], names=[ident, "secrets"])
 
@@ -192,24 +190,29 @@ def op10_secrets(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame
     """Counts and digests of the secrets in all documents.
 
     Null texts count as empty and give zero counts, the digest of the empty text and empty spans; repeated rows are rows
-    of their own.
+    of their own; of matches that begin at one place, the pattern decides, so there are no ties; an empty table gives no
+    rows; further columns are ignored. log10_guesses has the cost of each of spans, joined likewise.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
-    return digests(scan(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), "doc_id", "text"), "secrets", KINDS[:3], KINDS)
+    return digests(scan(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), "doc_id", "text"), "secrets", KINDS[:3], KINDS, ("cost", "log10_guesses"))
 
 
-def digests(found_spans: DataFrame, column: str, base: tuple[str, ...], kinds: tuple[str, ...], flag: str | None = None) -> DataFrame:
-    """doc_id, n_<kind> of the base kinds, base_sha256 and spans, from an array of spans; flag: the field that marks base ones."""
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in base) + ", base_sha256 string, spans string"
+def digests(found_spans: DataFrame, column: str, base: tuple[str, ...], kinds: tuple[str, ...], value: tuple[str, str], flag: str | None = None) -> DataFrame:
+    """doc_id, n_<kind> of the base kinds, base_sha256, spans and a number of each, from an array of spans.
+
+    flag: the field that marks base ones; value: the field that has the number, and the name of its column.
+    """
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in base) + f", base_sha256 string, spans string, {value[1]} string"
 
     def derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(column).to_pylist()
             spans = [[(s["start"], s["end"], s["kind"]) for s in row] for row in rows]
+            numbers = [",".join(f"{s[value[0]]:.3f}" for s in sorted(row, key=lambda s: (s["start"], kinds.index(s["kind"]), s["end"]))) for row in rows]
             own = [[(s["start"], s["end"], s["kind"]) for s in row if (s[flag] if flag else s["kind"] in base)] for row in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array([sum(s[2] == k for s in row) for row in own], type=pa.int64()) for k in base], pa.array([sha256(joined(row, kinds)) for row in own]), pa.array([joined(row, kinds) for row in spans])],
-                names=["doc_id", *[f"n_{k}" for k in base], "base_sha256", "spans"],
+                [batch.column("doc_id"), *[pa.array([sum(s[2] == k for s in row) for row in own], type=pa.int64()) for k in base], pa.array([sha256(joined(row, kinds)) for row in own]), pa.array([joined(row, kinds) for row in spans]), pa.array(numbers, type=pa.string())],
+                names=["doc_id", *[f"n_{k}" for k in base], "base_sha256", "spans", value[1]],
             )
 
     return found_spans.mapInArrow(derived, schema)

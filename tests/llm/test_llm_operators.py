@@ -327,7 +327,7 @@ def test_semi_markov_field_learns_rewritten_spans():
                 examples.append((len(tokens), pii._segments(changed, tokens), gold))
     weights = pii.train(examples)
     text = "call (321) 555-4567 now or version 12 of it"
-    assert [text[a:b] for a, b, k in pii.added_spans(text, pii.base_spans(text), weights) if k == "phone"] == ["(321) 555-4567"]
+    assert [text[a:b] for a, b, k, _ in pii.added_spans(text, pii.base_spans(text), weights) if k == "phone"] == ["(321) 555-4567"]
     scores = {(0, 1): np.array([0.3, -1.0, 0, 0]), (0, 2): np.array([0.1, 0.9, 0, 0]), (1, 2): np.array([0.2, 0.1, 0, 0])}
     posterior, total = pii._marginals(2, scores)
     every = [0.0] + [v for s in ((0, 1), (0, 2), (1, 2)) for v in scores[s]] + [a + b for a in scores[0, 1] for b in scores[1, 2]]
@@ -348,7 +348,7 @@ def test_secrets(spark):
 def test_guess_costs_order_values():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < cost("Password1") < cost("changeme2024") < secrets.LEAST_LOG10_GUESSES < cost("b7db7aa4a5fcc78305")
-    assert cost("qwertyuiop") < 5 and cost("aaaaaaaaaaaa") < 4 and cost("20240115") < 5 and cost("x" * 500) > 100
+    assert cost("qwertyuiop") < 5 and cost("aaaaaaaaaaaa") < 4 and cost("20240115") < 5 and cost("x" * 500) < 6
 
 
 CONTEXTS_OF = ('private_key="{}" x', "credentials: '{}' x", "pwd={} x", "Bearer {} x", "db://user:{}@host x")
@@ -363,7 +363,7 @@ def test_long_values_are_seen_whole(n):
         assert [s[:3] for s in secrets.added_spans(text, [])] == [(at, at + n, "guess")], context
         for dull in ("x" * n, ("changeme" * n)[:n // 8 * 8]):
             assert secrets.added_spans(context.format(dull), []) == [], context
-    assert secrets.guess_cost("x" * 64 + "y" * (n - 64), window=None) <= np.log10(26 * 64 * 2 * 26 * (n - 64)) + 1e-9
+    assert secrets.guess_cost("x" * 64 + "y" * (n - 64)) <= np.log10(26 * 64 * 2 * 26 * (n - 64)) + 1e-9
 
 
 def test_guess_costs_match_all_segmentations():
@@ -385,7 +385,7 @@ def test_guess_costs_match_all_segmentations():
     rng = np.random.default_rng(8)
     for _ in range(60):
         parts = [str(rng.choice(["xxx", "foo", "test", "k", "mq", "mqzzv"])) * int(rng.integers(1, 30)) + "".join(rng.choice(list("kmqvz"), size=rng.integers(0, 9))) for _ in range(3)]
-        assert secrets.guess_cost("".join(parts), window=None) == pytest.approx(plain("".join(parts)))
+        assert secrets.guess_cost("".join(parts)) == pytest.approx(plain("".join(parts)))
 
 
 @pytest.fixture(scope="module")
@@ -494,3 +494,61 @@ def test_shards_balance_large_and_repeated_records(spark):
     assert sum(r.shard == alone for r in giant) <= 1 and len({r.shard for r in giant}) == 4
     where, lacking = sharding._lacking([9, 5, 4], 30, 3)
     assert sorted(where) == [0, 1, 2] and sorted(lacking) == pytest.approx([1, 5, 6])
+
+
+def test_the_field_finds_planted_variants(spark):
+    """Personal data in spellings that the patterns can't see, among numbers that are none: precision and recall of what is added."""
+    rng = np.random.default_rng(41)
+    phone = lambda: f"+1 ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+    ip = lambda: ".".join(str(rng.integers(1, 255)) for _ in range(4))
+    mail = lambda: f"{sentence(rng, 1)}.{sentence(rng, 1)}@{sentence(rng, 1)}.example.com"
+    rows, gold = [], {}
+    for i in range(500):
+        noise = f"{sentence(rng, 4)} {rng.integers(1, 2030)} {sentence(rng, 3)} {rng.integers(1, 99)}.{rng.integers(1, 99)} {sentence(rng, 5)}"
+        kind, span = [("phone", phone()), ("ip", ip()), ("email", mail())][i % 3]
+        if i < 300:
+            rows.append((i, f"{noise} {span} {sentence(rng, 4)}"))
+        elif i < 360:
+            hidden = pii.rewritten(kind, span, int(rng.integers(3)))
+            gold[i] = (len(noise) + 1, len(noise) + 1 + len(hidden), kind)
+            rows.append((i, f"{noise} {hidden} {sentence(rng, 4)}"))
+        else:
+            rows.append((i, noise))
+    got = pii.op6_pii(spark, "", spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r.doc_id, *s.split(":")) for r in got if r.doc_id >= 300 for s in r.spans.split(",") if s and r.n_email + r.n_ip + r.n_card + r.n_phone == 0}
+    want = {(i, k, str(a), str(b)) for i, (a, b, k) in gold.items()}
+    right = len(added & want)
+    assert right / len(want) > 0.7 and right / len(added) > 0.9
+    assert all(len(r.posteriors.split(",")) == len(r.spans.split(",")) for r in got)
+
+
+def test_decode_finds_the_best_segmentation_of_all():
+    rng = np.random.default_rng(42)
+    for _ in range(40):
+        n = int(rng.integers(1, 7))
+        scores = {(i, j): rng.normal(0, 3, 4) for i in range(n) for j in range(i + 1, min(n, i + pii.MAX_TOKENS) + 1) if rng.random() < 0.7}
+        best = {0: (0.0, [])}
+        for j in range(1, n + 1):  # all segmentations of the first j tokens, the best kept
+            options = [best[j - 1]] + [(best[i][0] + s.max() - pii.MARGIN_SCORE, [*best[i][1], (i, j, int(s.argmax()))]) for (i, e), s in scores.items() if e == j]
+            best[j] = max(options, key=lambda o: o[0])
+        assert pii.decode(n, scores) == best[n][1]
+
+
+def test_guess_cost_finds_planted_secrets(spark):
+    """Random values and passphrases in contexts that the patterns can't see, among placeholders: precision and recall."""
+    rng = np.random.default_rng(43)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%")
+    rows, secret = [], set()
+    for i in range(200):
+        context = ("pwd={} x", 'passphrase: "{}"', "Authorization: Bearer {}", "db://user:{}@host/x", "credentials => '{}'")[i % 5]
+        if i % 2:
+            secret.add(i)
+            value = "".join(rng.choice(letters[:-3] if i % 5 > 1 else letters, size=int(rng.integers(12, 30))))
+        else:
+            value = str(rng.choice(["changeme", "password1", "xxxxxxxxxxxx", "qwertyuiop", "example2024", "aaaabbbb", "your-token", "12345678"]))
+        rows.append((i, f"{sentence(rng, 5)} {context.format(value)} {sentence(rng, 5)}"))
+    got = secrets.op10_secrets(spark, "", spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if "guess:" in r.spans}
+    assert len(found & secret) / len(secret) > 0.95 and len(found & secret) / len(found) > 0.95
+    empty = secrets.op10_secrets(spark, "", spark.createDataFrame([], "doc_id long, text string, spans string"))
+    assert empty.count() == 0
