@@ -33,13 +33,16 @@ def versions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     )
 
 
-def chain_faults(chains: DataFrame, key: str, ident: str) -> DataFrame:
-    """(key, versions, bad_sequence, bad_link, bad_time, open_before_last): faults of neighbours in each chain."""
+def chain_faults(chains: DataFrame, key: str, ident: str, sequence: str = "version_sequence") -> DataFrame:
+    """(key, versions, bad_sequence, bad_link, bad_time, open_before_last): faults of neighbours in each chain.
+
+    Rows follow each other by version_sequence; sequence is the column that should grow.
+    """
     w = Window.partitionBy(key).orderBy("version_sequence")
-    prior = {c: F.lag(c).over(w) for c in ("version_sequence", ident, "valid_from", "valid_to")}
+    prior = {c: F.lag(c).over(w) for c in {sequence, ident, "valid_from", "valid_to"}}
     rows = chains.select(
-        key, (prior["version_sequence"] >= F.col("version_sequence")).alias("s"), (prior[ident] != F.col("supersedes")).alias("l"),
-        (prior["valid_from"] > F.col("valid_from")).alias("t"), (prior["version_sequence"].isNotNull() & prior["valid_to"].isNull()).alias("o"),
+        key, (prior[sequence] >= F.col(sequence)).alias("s"), (prior[ident] != F.col("supersedes")).alias("l"),
+        (prior["valid_from"] > F.col("valid_from")).alias("t"), (prior[sequence].isNotNull() & prior["valid_to"].isNull()).alias("o"),
     )
     return rows.groupBy(key).agg(F.count("*").alias("versions"), *[F.count_if(c).alias(n) for c, n in (("s", "bad_sequence"), ("l", "bad_link"), ("t", "bad_time"), ("o", "open_before_last"))])
 

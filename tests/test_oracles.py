@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lodegraph.plans import catalogue
@@ -22,7 +23,7 @@ def duck(sf_dir):
 
 def plain(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda v: "~" if v is None or v != v else f"{v:.5f}" if isinstance(v, float) else str(v)
+    cell = lambda v: "~" if v is None or v is pd.NA or v != v else f"{v:.5f}" if isinstance(v, float) else str(v)
     return sorted([cell(x) for x in row] for row in frame.astype(object).values.tolist())
 
 
