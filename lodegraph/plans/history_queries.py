@@ -66,14 +66,14 @@ def traversal_at(spark, sf_dir):
     f"""WITH {VERSIONS}, u AS (SELECT c_custkey AS entity, 1000000000 + c_custkey AS new FROM customer WHERE c_acctbal < 0), c AS (SELECT vs.entity, version_id, version_sequence, CASE WHEN new IS NOT NULL AND valid_to IS NULL THEN new ELSE superseded_by END AS superseded_by,
       (CASE WHEN new IS NOT NULL AND valid_to IS NULL THEN TIMESTAMP '2000-01-01' ELSE valid_to END) AS valid_to FROM vs LEFT JOIN u USING (entity)),
     n AS (SELECT u.entity, new AS version_id, coalesce(o.version_sequence, 0) + 1 AS version_sequence, NULL::BIGINT AS superseded_by, NULL::TIMESTAMP AS valid_to FROM u LEFT JOIN (SELECT * FROM vs WHERE valid_to IS NULL) o USING (entity))
-    SELECT entity, version_id, version_sequence::INT AS version_sequence, superseded_by, strftime(valid_to, '%Y-%m-%d') AS ends FROM (SELECT * FROM c UNION ALL SELECT * FROM n)"""
+    SELECT entity, version_id, version_sequence::INT AS version_sequence, coalesce(superseded_by, 0) AS superseded_by, strftime(valid_to, '%Y-%m-%d') AS ends FROM (SELECT * FROM c UNION ALL SELECT * FROM n)"""
 )
 def new_versions(spark, sf_dir):
     """A new version of every customer in debt, opened at one instant."""
     v = versions(spark, sf_dir).select("entity", "version_id", "version_sequence", "valid_from", "valid_to", "supersedes", "superseded_by")
     u = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("entity"), (F.col("c_custkey") + 1_000_000_000).alias("version_id"))
     rows, _ = H.with_new_versions(v, u, "entity", F.lit("2000-01-01").cast("timestamp"))
-    return rows.select("entity", "version_id", "version_sequence", "superseded_by", F.date_format("valid_to", "yyyy-MM-dd").alias("ends"))
+    return rows.select("entity", "version_id", "version_sequence", F.coalesce("superseded_by", F.lit(0)).alias("superseded_by"), F.date_format("valid_to", "yyyy-MM-dd").alias("ends"))
 
 
 @query(
@@ -102,10 +102,10 @@ def temporal_field_errors(spark, sf_dir):
     return x.select("l_orderkey", "l_linenumber", F.array_join(errors, ",").alias("errors"))
 
 
-@query(f"WITH {VERSIONS} SELECT version_id, floor(epoch_ms(valid_to - valid_from) / 86400000.0)::BIGINT AS days, valid_to IS NULL AS open FROM (SELECT version_id, valid_from, valid_to FROM vs)".replace("epoch_ms(valid_to - valid_from)", "(epoch_ms(valid_to) - epoch_ms(valid_from))"))
+@query(f"WITH {VERSIONS} SELECT version_id, coalesce(floor(epoch_ms(valid_to - valid_from) / 86400000.0)::BIGINT, -1) AS days, valid_to IS NULL AS open FROM (SELECT version_id, valid_from, valid_to FROM vs)".replace("epoch_ms(valid_to - valid_from)", "(epoch_ms(valid_to) - epoch_ms(valid_from))"))
 def validity_durations(spark, sf_dir):
     d = versions(spark, sf_dir).select("version_id", H.duration(F.col("valid_from"), F.col("valid_to")).alias("d"))
-    return d.select("version_id", "d.days", "d.open")
+    return d.select("version_id", F.coalesce("d.days", F.lit(-1)).alias("days"), "d.open")
 
 
 @query(
