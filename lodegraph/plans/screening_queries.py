@@ -12,26 +12,60 @@ from lodegraph.plans.registry import query
 from lodegraph.plans.views import GRAPH, VERTICES, edges, vertices
 from lodegraph.sources.tables import table
 
-_FAMILIES = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in S.INJECTION.items())
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query(f"SELECT conv_id, turn, array_to_string(f, ',') AS families, CASE WHEN len(f) >= 2 THEN 'block' WHEN len(f) = 1 THEN 'review' ELSE 'allow' END AS verdict FROM (SELECT conv_id, turn, list_filter([{_FAMILIES}], lambda x: x IS NOT NULL) AS f FROM conversations)")
+_FAMILIES = ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), {_quoted('(?i)' + '|'.join(f'(?:{p})' for p in patterns))}) THEN '{n}' END" for n, (_, patterns) in S.ATTACKS.items())
+_SUSPICION = " + ".join([f"CASE WHEN regexp_matches(coalesce(text, ''), {_quoted('(?i)' + p)}) THEN {w} ELSE 0.0 END::DOUBLE" for p, w in S.HINTS] + [
+    f"CASE WHEN len(regexp_extract_all(coalesce(text, ''), {_quoted(p)})) >= {n} THEN {w} * least(len(regexp_extract_all(coalesce(text, ''), {_quoted(p)}))::DOUBLE / {n}, 2.0) ELSE 0.0 END::DOUBLE" for p, w, n in S.COUNTED])
+_ODD = f"""list_filter([CASE WHEN length(coalesce(text, '')) > 10000 THEN 'long' END, CASE WHEN len(regexp_split_to_array(coalesce(text, ''), '\\s+')) > 50 AND list_max(map_values(list_histogram(regexp_split_to_array(coalesce(text, ''), '\\s+')))) > 50
+  AND list_max(map_values(list_histogram(regexp_split_to_array(coalesce(text, ''), '\\s+')))) > len(regexp_split_to_array(coalesce(text, ''), '\\s+')) * 0.2 THEN 'repetitive' END,
+  CASE WHEN regexp_matches(coalesce(text, ''), '{S._HIDDEN}') THEN 'hidden' END, CASE WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9+/]{{50,}}={{0,2}}') THEN 'encoded' END], lambda x: x IS NOT NULL)"""
+_LEVEL = "CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(0, " + ", ".join(f"CASE WHEN list_contains(f, '{n}') THEN {S.SEVERITIES.index(s)} ELSE 0 END" for n, (s, _) in S.ATTACKS.items()) + (
+    ", CASE WHEN s >= 0.8 THEN 3 WHEN s >= 0.6 THEN 2 WHEN s >= 0.5 THEN 1 ELSE 0 END, CASE WHEN list_contains(o, 'hidden') THEN 2 WHEN len(o) > 0 THEN 1 ELSE 0 END) END")
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, text, list_filter([{_FAMILIES}], lambda x: x IS NOT NULL) AS f, least(1.0, round({_SUSPICION}, 9)) AS s, {_ODD} AS o FROM documents), l AS (SELECT doc_id, f, s, o, {_LEVEL} AS level FROM a)
+    SELECT doc_id, array_to_string(f, ',') AS families, round(s, 6)::DOUBLE AS suspicion, array_to_string(o, ',') AS odd, ['none','low','medium','high','critical'][level + 1] AS severity, ['allow','warn','warn','block','block'][level + 1] AS action FROM l"""
+)
 def injection_scan(spark, sf_dir):
-    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", S.families(F.col("text")).alias("f"))
-    return found.select("conv_id", "turn", F.array_join("f", ",").alias("families"), S.verdict(F.col("f")).alias("verdict"))
+    """Every document's attempts to steer a model, its suspicious words and its structure."""
+    found = S.analysed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), F.round("suspicion", 6).alias("suspicion"), F.array_join("odd", ",").alias("odd"), S.level_name(F.col("level")).alias("severity"), S.action(F.col("level")).alias("action"))
 
 
-def _redact_sql() -> str:
-    text = "text"
-    for name, pattern in S.PERSONAL.items():
-        text = f"regexp_replace({text}, '{pattern}', '[{name.upper()}]', 'g')"
-    return text
+@query(
+    f"""WITH m AS (SELECT conv_id, turn, role, text FROM conversations), j AS (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM m WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 3),
+    a AS (SELECT conv_id, role, text, list_filter([{_FAMILIES}], lambda x: x IS NOT NULL) AS f, least(1.0, round({_SUSPICION}, 9)) AS s, {_ODD} AS o FROM (SELECT conv_id, role, text FROM m UNION ALL SELECT conv_id, 'all', text FROM j)),
+    l AS (SELECT conv_id, role, {_LEVEL} AS level FROM a), g AS (SELECT conv_id, max(level) FILTER (role <> 'all') AS single, coalesce(max(level) FILTER (role = 'user'), 0) AS u, coalesce(max(level) FILTER (role = 'all'), 0) AS t FROM l GROUP BY 1)
+    SELECT conv_id, t >= 3 AND t > u AS crossed, ['none','low','medium','high','critical'][CASE WHEN t >= 3 AND t > u THEN greatest(single, 2) ELSE single END + 1] AS severity FROM g"""
+)
+def conversation_scan(spark, sf_dir):
+    """The severity of every conversation, its user messages taken together too."""
+    found = S.conversations(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return found.select("conv_id", "crossed", S.level_name(F.col("level")).alias("severity"))
 
 
-@query(f"SELECT doc_id, md5({_redact_sql()}) AS hash FROM documents WHERE {_redact_sql()} <> text")
+@query()
 def redacted_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", S.redacted(F.col("text")).alias("clean"))
-    return d.where("clean <> text").select("doc_id", F.md5("clean").alias("hash"))
+    """Documents with personal data of the twelve classes, redacted, and what was found."""
+    found = S.redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.where(F.size("spans") > 0).select("doc_id", F.md5("clean").alias("hash"), F.size("spans").alias("found"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["class"], s["position"], s["length"])), ",").alias("spans"))
+
+
+@query()
+def personal_data_summary(spark, sf_dir):
+    """How much personal data of each category and severity the documents hold, without changing them."""
+    found = S.redacted(table(spark, sf_dir, "documents"), "doc_id", "text", audit=True).select("doc_id", F.explode("spans").alias("s"))
+    return found.groupBy("s.category", "s.severity", "s.class").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("SELECT event_id, concat_ws(',', event_id, event_type, CASE WHEN regexp_matches(props, '[,\"\\r\\n]') THEN '\"' || replace(props, '\"', '\"\"') || '\"' ELSE props END) AS line FROM events")
+def audit_rows(spark, sf_dir):
+    """Whole rows of the log as CSV."""
+    return table(spark, sf_dir, "events").select("event_id", S.csv_row([F.col("event_id"), F.col("event_type"), F.col("props")]).alias("line"))
 
 
 @query("SELECT event_id, CASE WHEN regexp_matches(props, '[,\"\\r\\n]') THEN '\"' || replace(props, '\"', '\"\"') || '\"' ELSE props END AS field FROM events")
@@ -63,14 +97,16 @@ def batch_scores(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT label, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id)) AS d FROM embeddings),
-    t AS (SELECT label, quantile_disc(d, 0.9) AS threshold FROM d WHERE d IS NOT NULL GROUP BY label) SELECT d.label, vec_id, round(d, 6) AS distance FROM d JOIN t ON d.label = t.label AND d.d > threshold"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM d WHERE d IS NOT NULL), t AS (SELECT label, d AS threshold FROM r WHERE k = floor(0.9 * (n - 1)) + 1)
+    SELECT d.label, vec_id, round(d, 6) AS distance FROM d JOIN t ON d.label = t.label AND d.d > threshold"""
 )
 def breakpoints(spark, sf_dir):
     """Places where consecutive vectors of a label are further apart than nine tenths of them."""
     w = Window.partitionBy("label").orderBy("vec_id")
     e = table(spark, sf_dir, "embeddings").withColumn("next", F.lead("embedding").over(w)).where("next IS NOT NULL")
     d = e.select("label", "vec_id", (1 - V.cosine(F.col("embedding"), F.col("next"))).alias("d"))
-    t = d.groupBy("label").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY d)").alias("threshold"))
+    ranked = d.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("d", "vec_id"))).join(d.groupBy("label").agg(F.count("*").alias("n")), "label")
+    t = ranked.where(F.col("k") == F.floor(0.9 * (F.col("n") - 1)) + 1).select("label", F.col("d").alias("threshold"))
     return d.join(t, "label").where("d > threshold").select("label", "vec_id", F.round("d", 6).alias("distance"))
 
 
