@@ -8,7 +8,7 @@ from lodegraph.functions import names as N
 from lodegraph.operators import chunking, security
 from lodegraph.operators.overlap import overlaps
 from lodegraph.plans.registry import query
-from lodegraph.plans.views import DECIDED, SECURED, VERTICES, secured, vertices
+from lodegraph.plans.views import DECIDED, EDGES, SECURED, VERTICES, edges, secured, vertices
 from lodegraph.sources.tables import table
 
 _USER = security.User("reader", ("g1", "g2"), "src3", "u2")
@@ -35,14 +35,57 @@ def levenshtein_match(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.round(N.similarity(F.lower("p_brand"), F.lower("p_type")), 6).alias("similarity"))
 
 
+_VERSION = "(o_orderkey % 7) || '.' || (o_custkey % 11) || '.' || (o_orderkey % 13) || CASE WHEN o_orderkey % 3 = 0 THEN '-rc.' || (o_orderkey % 4) WHEN o_orderkey % 5 = 0 THEN '-beta' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 THEN '+b' || o_custkey ELSE '' END"
+_PARTS = "'^([0-9]+)\\.([0-9]+)\\.([0-9]+)(?:-([0-9A-Za-z.-]+))?(?:\\+([0-9A-Za-z.-]+))?$'"
+
+
+def _version_text():
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pre = F.when(k % 3 == 0, F.concat(F.lit("-rc."), k % 4)).when(k % 5 == 0, F.lit("-beta")).otherwise("")
+    return F.concat(F.concat_ws(".", k % 7, c % 11, k % 13), pre, F.when(k % 4 == 0, F.concat(F.lit("+b"), c)).otherwise(""))
+
+
 @query(
-    """SELECT o_orderkey, o_orderkey % 7 AS major, o_custkey % 11 AS minor, (o_orderkey % 13) AS patch, CASE WHEN o_orderkey % 3 = 0 THEN 'rc.1' ELSE '' END AS pre FROM orders"""
+    f"SELECT o_orderkey, {', '.join(f'regexp_extract(t, {_PARTS}, {i})::BIGINT AS {n}' for i, n in ((1, 'major'), (2, 'minor'), (3, 'patch')))}, regexp_extract(t, {_PARTS}, 4) AS pre, regexp_extract(t, {_PARTS}, 5) AS build FROM (SELECT o_orderkey, {_VERSION} AS t FROM orders)"
 )
 def semver_parse(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    text = F.concat_ws("", F.lit("v"), F.concat_ws(".", F.col("o_orderkey") % 7, F.col("o_custkey") % 11, F.col("o_orderkey") % 13), F.when(F.col("o_orderkey") % 3 == 0, "-rc.1").otherwise(""))
-    v = o.select("o_orderkey", N.semver(text).alias("v"))
-    return v.select("o_orderkey", *[F.col(f"v.{c}").cast("long").alias(c) for c in ("major", "minor", "patch")], "v.pre")
+    v = table(spark, sf_dir, "orders").select("o_orderkey", N.semver(_version_text()).alias("v"))
+    return v.select("o_orderkey", *[F.col(f"v.{c}").cast("long").alias(c) for c in ("major", "minor", "patch")], "v.pre", "v.build")
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, {_VERSION} AS t FROM orders), p AS (SELECT o_orderkey, regexp_extract(t, {_PARTS}, 1)::INT AS a, regexp_extract(t, {_PARTS}, 2)::INT AS b, regexp_extract(t, {_PARTS}, 3)::INT AS c, regexp_extract(t, {_PARTS}, 4) AS pre FROM t)
+    SELECT o_orderkey, CASE WHEN (a, b, c) > (3, 5, 6) THEN 1 WHEN (a, b, c) < (3, 5, 6) THEN -1 WHEN pre = '' THEN 1 WHEN pre = 'rc.2' THEN 0 WHEN pre = 'beta' THEN -1 WHEN pre > 'rc.2' THEN 1 ELSE -1 END AS against,
+      a = 3 AND ((a, b, c) > (3, 5, 6) OR ((a, b, c) = (3, 5, 6) AND (pre = '' OR (pre >= 'rc.2' AND pre <> 'beta')))) AS fits FROM p"""
+)
+def version_comparison(spark, sf_dir):
+    """Each order's version against 3.5.6-rc.2."""
+    other = F.lit("3.5.6-rc.2")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.compare_versions(_version_text(), other).alias("against"), N.compatible(_version_text(), other).alias("fits"))
+
+
+@query(f"WITH e AS ({EDGES}) SELECT CASE type WHEN 'DEPENDS_ON' THEN 'REQUIRES' ELSE type END AS kind, count(*) AS edges FROM e GROUP BY 1")
+def relation_synonyms(spark, sf_dir):
+    """Edges by the relation that their type is another word for."""
+    return edges(spark, sf_dir).groupBy(N.relation_type(F.col("type")).alias("kind")).agg(F.count("*").alias("edges"))
+
+
+@query("SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '[ \\t\\n\\r]+', '_', 'g'), '[^a-z0-9_=-]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 100) AS key FROM pages")
+def search_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", N.search_key(F.col("url")).alias("key"))
+
+
+@query("SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title, least(n_name, r_name) || '|' || greatest(n_name, r_name) AS pair FROM nation JOIN region ON r_regionkey = n_regionkey")
+def display_names(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return n.select("n_nationkey", N.title_name(F.col("n_name")).alias("title"), N.pair_key(F.col("n_name"), F.col("r_name")).alias("pair"))
+
+
+@query("SELECT event_id, props::JSON ->> '$.k' AS k FROM events")
+def json_payloads(spark, sf_dir):
+    """A number out of JSON that stands in a code fence."""
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(N.json_payload(fenced), "$.k").alias("k"))
 
 
 @query(
@@ -77,30 +120,10 @@ def _gram_sql(n: int) -> str:
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), dg AS (SELECT doc_id, {_gram_sql(3)} AS g FROM d), bg AS (SELECT item_id, {_gram_sql(3)} AS g FROM b)
-    SELECT doc_id, item_id, round(CASE WHEN len(dg.g) + len(bg.g) = 0 THEN 0 ELSE len(list_intersect(dg.g, bg.g))::DOUBLE / (len(dg.g) + len(bg.g) - len(list_intersect(dg.g, bg.g))) END, 6) AS overlap
-    FROM dg JOIN bg ON dg.doc_id % 40 = bg.item_id"""
-)
-def ngram_jaccard(spark, sf_dir):
-    """Three-word overlap of each document with one benchmark item."""
-    d = table(spark, sf_dir, "documents").select("doc_id", N.words(F.col("text")).alias("w")).select("doc_id", N.ngrams(F.col("w")).alias("g"), (F.col("doc_id") % 40).alias("item_id"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", N.words(F.col("text")).alias("w")).select("item_id", N.ngrams(F.col("w")).alias("h"))
-    return d.join(b, "item_id").select("doc_id", "item_id", F.round(N.jaccard(F.col("g"), F.col("h")), 6).alias("overlap"))
-
-
-@query(
-    f"""WITH d AS (SELECT doc_id, list_distinct({_WORDS}) AS w FROM documents), b AS (SELECT item_id, list_filter(list_distinct({_WORDS}), lambda x: length(x) > 2) AS w FROM benchmark)
-    SELECT doc_id, item_id, round(CASE WHEN len(b.w) = 0 THEN 0 ELSE len(list_intersect(b.w, d.w))::DOUBLE / len(b.w) END, 6) AS contained FROM d JOIN b ON d.doc_id % 40 = b.item_id"""
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), dg AS (SELECT doc_id, unnest({_gram_sql(3)}) AS g FROM d), bg AS (SELECT item_id, unnest({_gram_sql(3)}) AS g FROM b),
+    dn AS (SELECT doc_id, count(*) AS n FROM dg GROUP BY 1), bn AS (SELECT item_id, count(*) AS n FROM bg GROUP BY 1), c AS (SELECT doc_id, item_id, count(*) AS k FROM dg JOIN bg USING (g) GROUP BY 1, 2)
+    SELECT doc_id, item_id, round(k::DOUBLE / (dn.n + bn.n - k), 6) AS overlap FROM c JOIN dn USING (doc_id) JOIN bn USING (item_id)"""
 )
-def keyword_overlap(spark, sf_dir):
-    """Share of a benchmark item's longer words that a document has."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.array_distinct(N.words(F.col("text"))).alias("w"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.array_distinct(N.words(F.col("text"))), lambda x: F.length(x) > 2).alias("k"))
-    share = F.when(F.size("k") > 0, F.size(F.array_intersect("k", "w")) / F.size("k")).otherwise(0.0)
-    return d.join(b, "item_id").select("doc_id", "item_id", F.round(share, 6).alias("contained"))
-
-
-@query()
 def ngram_overlaps(spark, sf_dir):
     """Three-word overlap of all documents with all benchmark items; pairs without a common run have 0 and no row."""
     d = table(spark, sf_dir, "documents").select("doc_id", N.words(F.col("text")).alias("w")).select("doc_id", N.ngrams(F.col("w")).alias("terms"))
@@ -108,7 +131,10 @@ def ngram_overlaps(spark, sf_dir):
     return overlaps(d, b).select("doc_id", "item_id", F.round(F.col("common") / (F.col("n_doc") + F.col("n_item") - F.col("common")), 6).alias("overlap"))
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS w FROM documents), b AS (SELECT item_id, unnest(list_filter(list_distinct({_WORDS}), lambda x: length(x) > 2)) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1)
+    SELECT doc_id, item_id, round(count(*)::DOUBLE / any_value(n), 6) AS contained FROM d JOIN b USING (w) JOIN n USING (item_id) GROUP BY 1, 2"""
+)
 def keyword_overlaps(spark, sf_dir):
     """Share of every benchmark item's longer words that each document has; pairs without a common word have 0 and no row."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(N.words(F.col("text"))).alias("terms"))
