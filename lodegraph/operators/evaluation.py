@@ -106,9 +106,9 @@ def keywords(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
-def plain_grams(text: Column, n: int = 3) -> Column:
-    """Distinct runs of n words of a text in lower case without punctuation."""
-    return N.ngrams(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\w\\s]", "")), "\\s+"), n)
+def plain_words(text: Column) -> Column:
+    """Words of a text in lower case without punctuation."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\w\\s]", "")), "\\s+")
 
 
 def sources(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -116,7 +116,9 @@ def sources(items: DataFrame, docs: DataFrame) -> DataFrame:
 
     items has item_id and text, docs doc_id and text. keyword is the share of the item's keywords, repeats counted.
     """
-    grams = overlaps(docs.select("doc_id", plain_grams(F.col("text")).alias("terms")), items.select("item_id", plain_grams(F.col("text")).alias("terms")))
+    # words are a column before their runs are taken, else every run would split the text again
+    of = lambda rows, key: rows.select(key, plain_words(F.col("text")).alias("w")).select(key, N.ngrams(F.col("w")).alias("terms"))
+    grams = overlaps(of(docs, "doc_id"), of(items, "item_id"))
     grams = grams.select("doc_id", "item_id", (F.col("common") / (F.col("n_doc") + F.col("n_item") - F.col("common"))).alias("ngram"))
     wanted = items.select("item_id", keywords(F.col("text")).alias("k")).where(F.size("k") > 0).select("item_id", F.size("k").alias("n"), F.explode("k").alias("word")).groupBy("item_id", "n", "word").agg(F.count("*").alias("times"))
     had = docs.select("doc_id", F.explode(F.array_distinct(keywords(F.col("text")))).alias("word"))
