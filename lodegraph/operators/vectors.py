@@ -72,3 +72,21 @@ def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> Data
     """(group, centroid): mean of each place over a group's vectors, added up before the shuffle."""
     places = vectors.select(group, F.posexplode(vector).alias("at", "x")).groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return places.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("centroid"))
+
+
+def coherence(vectors: DataFrame, group: str, vector: str = "embedding", weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+    """(group, n, centroid, pairwise, variance, score): how much a group's vectors belong together.
+
+    centroid is the mean cosine with the mean vector, pairwise that of all pairs, variance exp(-10 times the variance of
+    the distances from the mean). The sum of n unit vectors has square n + n (n - 1) times the mean cosine of its pairs,
+    so no pair is formed. A group of one vector scores 1.
+    """
+    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = vectors.select(group, F.posexplode(F.transform(vector, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))).alias("at", "u"))
+    sums = unit.groupBy(group, "at").agg(F.sum("u").alias("u")).groupBy(group).agg(F.sum(F.col("u") * F.col("u")).alias("square"))
+    near = vectors.join(centroids(vectors, group, vector), group).select(group, cosine(F.col(vector), F.col("centroid")).alias("s"))
+    each = near.groupBy(group).agg(F.count("*").alias("n"), F.avg("s").alias("centroid"), F.var_pop(1 - F.col("s")).alias("v")).join(sums, group)
+    pairwise = F.when(F.col("n") > 1, (F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0)
+    each = each.select(group, "n", "centroid", pairwise.alias("pairwise"), F.exp(-10 * F.col("v")).alias("variance"))
+    total = F.col("centroid") * weights[0] + F.col("pairwise") * weights[1] + F.col("variance") * weights[2]
+    return each.withColumn("score", F.when(F.col("n") > 1, total).otherwise(1.0))
