@@ -137,3 +137,24 @@ def variant(key: Column, shares: dict[str, int]) -> Column:
         at += share
         chosen = F.when(bucket < at, name) if chosen is None else chosen.when(bucket < at, name)
     return chosen
+
+
+def deletions(events: DataFrame, key: str, ts: str, mark: Column, recover: Column, grace: int) -> DataFrame:
+    """(key, state, since): active, pending (and since when), or deleted (and when), after all events.
+
+    A mark makes an active row pending, a recovery a pending one active; one that stays pending for grace seconds, up to
+    the last event of all, is deleted for good. Marks of pending rows change nothing.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.where(mark | recover).select(key, at.alias("t"), mark.alias("mark"))
+    last = events.agg(F.max(at).alias("last"))
+    w = Window.partitionBy(key).orderBy("t", "mark")
+    rows = rows.withColumn("start", F.col("mark") & ~F.coalesce(F.lag("mark").over(w), F.lit(False)))
+    ahead = F.min(F.when(~F.col("mark"), F.col("t"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    starts = rows.withColumn("back", ahead).where("start")
+    due = F.col("t") + grace * 1_000_000
+    starts = starts.join(F.broadcast(last)).withColumn("gone", F.when((F.col("back").isNull() | (F.col("back") > due)) & (due <= F.col("last")), due))
+    each = starts.groupBy(key).agg(F.min("gone").alias("gone"), F.max(F.when(F.col("back").isNull(), F.col("t"))).alias("open"))
+    state = F.when(F.col("gone").isNotNull(), "deleted").when(F.col("open").isNotNull(), "pending").otherwise("active")
+    every = events.select(key).distinct().join(each, key, "left")
+    return every.select(key, state.alias("state"), F.timestamp_micros(F.coalesce("gone", "open")).alias("since"))

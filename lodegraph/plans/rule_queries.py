@@ -9,6 +9,7 @@ from lodegraph.operators import rules as R
 from lodegraph.plans.activity_queries import events
 from lodegraph.plans.registry import query
 from lodegraph.sources.tables import table
+from lodegraph.streaming import state as T
 
 #: The events table has hours where a server log has minutes, so windows are so many times as long, and other kinds.
 _STRETCH = 1_440
@@ -157,3 +158,43 @@ def effective_limits(spark, sf_dir):
 def activity_types(spark, sf_dir):
     action = F.when(F.col("o_orderpriority") == "1-URGENT", "approval").when(F.col("o_orderpriority") == "2-HIGH", "upload").otherwise("other")
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("action"), R.activity_type(action).alias("kind")).agg(F.count("*").alias("n"))
+
+
+_DELETIONS = """r AS (SELECT user_id, ts, event_type = 'error' AS mark FROM events WHERE event_type IN ('error', 'signup')), l AS (SELECT max(ts) AS last FROM events),
+  s AS (SELECT *, mark AND NOT coalesce(lag(mark) OVER w, false) AS start, min(CASE WHEN NOT mark THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, mark ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS back FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, mark)),
+  g AS (SELECT user_id, CASE WHEN (back IS NULL OR back > ts + INTERVAL 10 DAY) AND ts + INTERVAL 10 DAY <= last THEN ts + INTERVAL 10 DAY END AS gone, CASE WHEN back IS NULL THEN ts END AS open FROM s, l WHERE start),
+  e AS (SELECT user_id, min(gone) AS gone, max(open) AS open FROM g GROUP BY 1)
+  SELECT user_id, CASE WHEN gone IS NOT NULL THEN 'deleted' WHEN open IS NOT NULL THEN 'pending' ELSE 'active' END AS state, coalesce(strftime(coalesce(gone, open), '%Y-%m-%d %H:%M:%S'), '') AS since FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN e USING (user_id)"""
+
+
+def _since(found):
+    return found.withColumn("since", F.coalesce(F.date_format("since", "yyyy-MM-dd HH:mm:ss"), F.lit("")))
+
+
+@query(f"WITH {_DELETIONS}")
+def deletion_states(spark, sf_dir):
+    """Users marked by an error and recovered by a signup, deleted after ten days of grace."""
+    kind = F.col("event_type")
+    return _since(R.deletions(events(spark, sf_dir), "user_id", "ts", kind == "error", kind == "signup", 10 * 86_400))
+
+
+@query(f"WITH {_DELETIONS}")
+def streamed_deletions(spark, sf_dir):
+    """The same states, kept up by a stream."""
+    return _since(T.deletions(spark, f"{sf_dir}/events.parquet", "user_id", "event_type", "error", "signup", 10 * 86_400))
+
+
+@query(
+    """WITH c AS (SELECT event_type, count(*) FILTER (f <> coalesce(p, false)) AS changes FROM (SELECT event_type, value > 100 AS f, lag(value > 100) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) GROUP BY 1)
+    SELECT e.event_type, count(*) AS processed, count(*) FILTER (value > 100) AS failed, max(event_id) AS checkpoint, round(avg(value), 6) AS mean_value, any_value(changes) AS changes FROM events e JOIN c USING (event_type) GROUP BY 1"""
+)
+def sync_sessions(spark, sf_dir):
+    """A connector's session for each event type, from a stream."""
+    return T.sync_sessions(spark, f"{sf_dir}/events.parquet", "event_type", 100.0).withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS started, count(*) AS n FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2 HAVING count(*) >= 2")
+def streamed_alerts(spark, sf_dir):
+    """Days on which a user had two errors or views, from a stream."""
+    found = T.alerts(spark, f"{sf_dir}/events.parquet", "user_id", ["error", "view"], 2, "1 day")
+    return found.withColumn("started", F.col("started").cast("timestamp_ntz"))

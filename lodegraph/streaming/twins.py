@@ -11,24 +11,17 @@ from lodegraph.sources.tables import shared_folder
 
 
 def _stream(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a parquet table as a stream, 16 files a micro-batch; a table that is one file is found by its name."""
+    """The files of a parquet table as a stream, 16 files a micro-batch; of a table that is one file, its folder is read and others passed over."""
     schema = spark.read.parquet(path).schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
     folder, _, name = path.rpartition("/")
-    try:
-        return _files(spark, schema, path)
-    except Exception:  # a single file: stream its folder and keep this file
-        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-
-
-def _files(spark: SparkSession, schema, path: str) -> DataFrame:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm_path).isDirectory():
-        raise IsADirectoryError(path)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
 def drained(spark: SparkSession, rows: DataFrame, mode: str) -> str:
-    """Run a stream until its source is empty; the folder that holds the last result of every micro-batch."""
+    """Run a stream until its source is empty; the folder that holds the last result, or of update and append modes every batch's."""
     base = f"{shared_folder(spark)}/lodegraph-stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
