@@ -49,7 +49,7 @@ def pair_key(one: Column, other: Column) -> Column:
 
 def json_payload(text: Column) -> Column:
     """The JSON in a text, without a code fence around it."""
-    return F.trim(F.coalesce(F.nullif(F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1), F.lit("")), text))
+    return F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1), F.lit("")), text), "^\\s+|\\s+$", "")
 
 
 def percent_change(before: Column, now: Column) -> Column:
@@ -111,8 +111,3 @@ def jaccard(one: Column, other: Column) -> Column:
     """Intersection over union of two arrays of distinct values; 0 for two empty ones."""
     union = F.size(F.array_union(one, other))
     return F.when(union > 0, F.size(F.array_intersect(one, other)) / union).otherwise(F.lit(0.0))
-
-
-def stable_bucket(key: Column, buckets: int = 100) -> Column:
-    """A bucket of 0 to buckets - 1 that a key always falls into."""
-    return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(buckets)).cast("int")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +17,31 @@ def sliding_counts(events: DataFrame, key: list[str], ts: str, seconds: int) ->
 
 
 def cooled(alerts: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
-    """Alerts that are not within seconds of the last one kept for their key, an ordered fold over each key.
+    """Alerts that are not within seconds of the last one kept for their key.
 
-    The fold runs natively over each key's sorted instants, so a key's instants must fit a row of the aggregation.
+    A gap of seconds or more always starts anew, so a key falls into runs that are folded apart; a task streams through
+    its sorted runs and remembers the last instant that it kept.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    listed = alerts.groupBy(*key).agg(F.array_sort(F.collect_list(at)).alias("_all"))
-    kept = F.aggregate("_all", F.array().cast("array<long>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(F.concat(F.array(F.lit(-(2**62))), acc), -1) >= seconds * 1_000_000), F.concat(acc, F.array(t))).otherwise(acc))
-    return listed.select(*key, F.explode(kept).alias("_at")).select(*key, F.timestamp_micros("_at").alias(ts))
+    micros = seconds * 1_000_000
+    rows = alerts.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    w = Window.partitionBy(*key).orderBy("_at")
+    fresh = F.coalesce(F.col("_at") - F.lag("_at").over(w) >= micros, F.lit(True))
+    runs = rows.withColumn("_fresh", fresh.cast("long")).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    runs = runs.withColumn("_name", F.xxhash64(*key, "_run")).repartition("_name").sortWithinPartitions("_name", "_run", *key, "_at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last = None, 0
+        for batch in batches:
+            keep = []
+            for run, at in zip(zip(*[batch.column(c).to_pylist() for c in (*key, "_run")], strict=True), batch.column("_at").to_pylist(), strict=True):
+                kept = run != name or at - last >= micros
+                if kept:
+                    name, last = run, at
+                keep.append(kept)
+            yield batch.filter(pa.array(keep, type=pa.bool_())).select([*key, "_at"])
+
+    schema = runs.select(*key, "_at").schema
+    return runs.mapInArrow(fold, schema).select(*key, F.timestamp_micros("_at").alias(ts))
 
 
 def severity(value: Column, budget: Column, warning: float = 0.7, critical: float = 0.9) -> Column:

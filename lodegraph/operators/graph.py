@@ -41,7 +41,7 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "type", "dst").agg(F.max("confidence").alias("confidence"), F.count("*").alias("copies"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-6, keep_dangling: bool = False) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, keep_dangling: bool = False) -> DataFrame:
     """(id, rank) after iterations rounds, or fewer once no rank moves by tolerance or more.
 
     Parallel edges and self-loops count. Rank that reaches a vertex without out-links is lost, as the reference does;
@@ -71,7 +71,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, itera
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None = None, reverse: bool = False) -> DataFrame:
     """(seed, id, hops): fewest hops from each seed (id) to every vertex within depth, the seeds left out.
 
-    A breadth-first frontier joined once a hop; a vertex reached before is not expanded again, so cycles end.
+    A breadth-first frontier joined once a hop; a vertex reached before is not expanded again, so cycles end. What the
+    last hop reaches is only merged with the rest: one shuffle, and nothing of it is written.
     """
     links = edges.where(F.col("type").isin(types)) if types else edges
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -79,10 +80,13 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | Non
     seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, depth + 1):
-        step = frontier.join(links, frontier["id"] == links["at"]).select("seed", F.col("to").alias("id")).distinct()
-        frontier = written(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop)))
+        step = frontier.join(links, frontier["id"] == links["at"]).select("seed", F.col("to").alias("id"))
+        if hop == depth:
+            break
+        frontier = written(step.distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(frontier)
-    return seen.where("hops > 0")
+    every = seen.unionByName(step.withColumn("hops", F.lit(depth))) if depth > 0 else seen
+    return every.groupBy("seed", "id").agg(F.min("hops").alias("hops")).where("hops > 0")
 
 
 def impact_score(hops: Column, importance: Column, decay: float = 0.7) -> Column:

@@ -22,15 +22,16 @@ class User:
     ident: str | None = None
 
 
-def decision(user: User, classification: Column, groups: Column, owner: Column, viewers: Column, department: Column) -> Column:
+def decision(user: User, classification: Column, groups: Column, owner: Column, viewers: Column, department: Column, unknown: str = "restricted") -> Column:
     """admin_access, granted, or the first rule that denies a row.
 
-    A missing classification is internal and an unknown one restricted; no groups admit all; an owner's row is open to
+    A missing classification is internal, and one that isn't known counts as unknown: restricted unless a caller wants the
+    laxer rule of the reports, public, under which a misspelt level opens a row to all. No groups admit all; an owner's row is open to
     the owner and its viewers, or to all where it has no viewers list.
     """
     if user.role == "admin":
         return F.lit("admin_access")
-    level = F.coalesce(*[F.when(F.coalesce(classification, F.lit("internal")) == name, F.lit(n)) for name, n in LEVELS.items()], F.lit(LEVELS["restricted"]))
+    level = F.coalesce(*[F.when(F.coalesce(classification, F.lit("internal")) == name, F.lit(n)) for name, n in LEVELS.items()], F.lit(LEVELS[unknown]))
     mine = F.array(*[F.lit(g) for g in user.groups]).cast("array<string>")
     me = F.lit(user.ident)
     closed = owner.isNotNull() & ~owner.eqNullSafe(me) & viewers.isNotNull() & ~F.coalesce(F.array_contains(viewers, me) if user.ident else F.lit(False), F.lit(False))
@@ -47,12 +48,3 @@ def masked(rows: DataFrame, user: User, hidden: dict[str, str]) -> DataFrame:
     """rows with the columns of hidden nulled for users whose role may read less than the level given for the column."""
     own = LEVELS[ROLE_LEVEL.get(user.role, "internal")]
     return rows.withColumns({c: F.lit(None).cast(dict(rows.dtypes)[c]) for c, level in hidden.items() if LEVELS[level] > own})
-
-
-def acl_groups(acl: Column) -> Column:
-    """Principals that a POSIX ACL text lets read: other with r is public, named users and groups with r; masks are skipped."""
-    entries = F.filter(F.split(F.coalesce(acl, F.lit("")), ","), lambda e: ~e.startswith("default:"))
-    parts = F.transform(entries, lambda e: F.split(e, ":"))
-    reads = F.filter(parts, lambda p: (F.size(p) == 3) & F.get(p, F.lit(2)).startswith("r") & (F.get(p, F.lit(0)) != "mask"))
-    named = F.transform(reads, lambda p: F.when(F.get(p, F.lit(0)) == "other", F.lit("public")).when(F.get(p, F.lit(1)) != "", F.concat_ws(":", F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
-    return F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull())))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.names import stable_bucket
 from lodegraph.operators import activity as A
 from lodegraph.operators.metrics import min_max, nearest_rank
+from lodegraph.operators.rules import variant
 from lodegraph.plans.registry import query
 from lodegraph.sources.tables import table
 from lodegraph.streaming import twins
@@ -27,11 +27,15 @@ def sliding_denials(spark, sf_dir):
     return e.groupBy("user_id", "event_type").agg(F.max("in_window").alias("most"), F.count_if(F.col("in_window") >= 3).alias("alerts"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE a AS (SELECT user_id, event_type, ts FROM (SELECT user_id, event_type, ts, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL '86399999999 microseconds' PRECEDING AND CURRENT ROW) AS c FROM events) WHERE c >= 3),
+    k(user_id, event_type, ts) AS (SELECT user_id, event_type, min(ts) FROM a GROUP BY 1, 2 UNION ALL SELECT user_id, event_type, ts FROM (SELECT k.user_id, k.event_type, min(a.ts) AS ts FROM k JOIN a ON a.user_id = k.user_id AND a.event_type = k.event_type AND a.ts >= k.ts + INTERVAL 1 DAY GROUP BY 1, 2))
+    SELECT user_id, event_type, ts FROM k"""
+)
 def cooled_alerts(spark, sf_dir):
     """Alerts of the sliding rule, at most one a day for each user and type."""
     e = A.sliding_counts(events(spark, sf_dir), ["user_id", "event_type"], "ts", 86_400)
-    return A.cooled(e.where("in_window >= 3"), ["user_id", "event_type"], "ts", 86_400)
+    return A.cooled(e.where("in_window >= 3"), ["user_id", "event_type"], "ts", 86_400).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, quantile_disc(value * 10, 0.5) AS p50, quantile_disc(value * 10, 0.95) AS p95, quantile_disc(value * 10, 0.99) AS p99, count(*) AS n FROM events GROUP BY event_type")
@@ -92,11 +96,11 @@ def minmax_normalize(spark, sf_dir):
     return c.join(ends, "c_mktsegment").select("c_custkey", "c_mktsegment", F.round(scaled, 6).alias("scaled"))
 
 
-@query()
+@query("SELECT CASE WHEN abs(h) % 100 < 70 THEN 'control' ELSE 'treatment' END AS variant, count(*) AS documents FROM (SELECT list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT) AS h FROM documents) GROUP BY 1")
 def ab_bucket_counts(spark, sf_dir):
     """Documents in the two variants of an experiment split 70 to 30 by a stable hash."""
-    d = table(spark, sf_dir, "documents").select(stable_bucket(F.col("doc_id")).alias("bucket"))
-    return d.groupBy(F.when(F.col("bucket") < 70, "control").otherwise("treatment").alias("variant")).agg(F.count("*").alias("documents"))
+    d = table(spark, sf_dir, "documents").select(variant(F.col("doc_id").cast("string"), {"control": 70, "treatment": 30}).alias("variant"))
+    return d.groupBy("variant").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT date_trunc('day', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

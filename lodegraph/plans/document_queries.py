@@ -152,9 +152,15 @@ def denial_reasons(spark, sf_dir):
     return _decided(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("documents"))
 
 
-@query(f"WITH {SECURED} SELECT doc_id, classification, NULL::VARCHAR AS owner, n_chars FROM sd")
+@query(f"WITH {SECURED} SELECT 'reader' AS role, doc_id, classification, '' AS owner, n_chars FROM sd UNION ALL SELECT 'reviewer', doc_id, classification, coalesce(owner, ''), n_chars FROM sd")
 def column_mask(spark, sf_dir):
-    return security.masked(secured(spark, sf_dir), _USER, {"owner": "confidential", "n_chars": "internal"}).select("doc_id", "classification", "owner", "n_chars")
+    """What a reader and a reviewer see of each document: only the latter the owner."""
+    seen = None
+    for role in ("reader", "reviewer"):
+        rows = security.masked(secured(spark, sf_dir), security.User(role), {"owner": "confidential", "n_chars": "internal"})
+        rows = rows.select(F.lit(role).alias("role"), "doc_id", "classification", F.coalesce("owner", F.lit("")).alias("owner"), "n_chars")
+        seen = rows if seen is None else seen.unionByName(rows)
+    return seen
 
 
 def _decided(spark, sf_dir):

@@ -48,11 +48,11 @@ def subgraph_edges(spark, sf_dir):
     return G.induced(edges(spark, sf_dir), kept).select("src", "dst", "type")
 
 
-@query(f"{GRAPH} SELECT dst AS id, 'in' AS way, src AS neighbour, type FROM e WHERE dst LIKE 'n:%' UNION SELECT src, 'out', dst, type FROM e WHERE src LIKE 'n:%'")
+@query(f"{GRAPH} SELECT dst AS id, 'in' AS way, src AS neighbour, type FROM e UNION SELECT src, 'out', dst, type FROM e")
 def neighbors_outin(spark, sf_dir):
     e = edges(spark, sf_dir)
-    incoming = e.where(F.col("dst").startswith("n:")).select(F.col("dst").alias("id"), F.lit("in").alias("way"), F.col("src").alias("neighbour"), "type")
-    outgoing = e.where(F.col("src").startswith("n:")).select(F.col("src").alias("id"), F.lit("out").alias("way"), F.col("dst").alias("neighbour"), "type")
+    incoming = e.select(F.col("dst").alias("id"), F.lit("in").alias("way"), F.col("src").alias("neighbour"), "type")
+    outgoing = e.select(F.col("src").alias("id"), F.lit("out").alias("way"), F.col("dst").alias("neighbour"), "type")
     return incoming.union(outgoing).distinct()
 
 
@@ -71,16 +71,17 @@ def type_closure(spark, sf_dir):
     return G.reach(edges(spark, sf_dir), vertices(spark, sf_dir).where("type = 'region'").select("id"), 2, ["PART_OF"], reverse=True)
 
 
-_SEED = "id IN ('o:1', 'o:2', 'o:3', 'o:4', 'o:5')"
+_SEED = "type = 'orders'"
 _DOWN = f"""{GRAPH}, l AS (SELECT DISTINCT src, dst FROM e), r(seed, id, hops) AS (
     SELECT id, id, 0 FROM v WHERE {_SEED} UNION SELECT r.seed, l.dst, r.hops + 1 FROM r JOIN l ON l.src = r.id WHERE r.hops < 5),
     d AS (SELECT seed, id, min(hops) AS hops FROM r GROUP BY seed, id HAVING min(hops) > 0)"""
 
 
-@query(f"{_DOWN} SELECT seed, id, hops, round(least(1.0, 0.6 * pow(0.7, hops) + 0.4 * 0.5), 6) AS score FROM d")
+@query(f"{_DOWN} SELECT seed, hops, count(*) AS reached, round(sum(least(1.0, 0.6 * pow(0.7, hops) + 0.4 * 0.5)), 6) AS score FROM d GROUP BY 1, 2")
 def impact_downstream(spark, sf_dir):
+    """What every order depends on, by hops, and the score that comes with it."""
     got = G.reach(edges(spark, sf_dir), vertices(spark, sf_dir).where(_SEED).select("id"), 5, SPREADS)
-    return got.withColumn("score", F.round(G.impact_score(F.col("hops"), F.lit(0.5)), 6))
+    return got.groupBy("seed", "hops").agg(F.count("*").alias("reached"), F.round(F.sum(G.impact_score(F.col("hops"), F.lit(0.5))), 6).alias("score"))
 
 
 @query(
@@ -108,12 +109,12 @@ def removal_simulation(spark, sf_dir):
 
 
 @query(
-    f"""{GRAPH}, b AS (SELECT src, dst FROM e WHERE type = 'PART_OF' UNION SELECT dst, src FROM e WHERE type = 'PART_OF'), p1 AS (SELECT 'r:0' AS a, dst AS b FROM b WHERE src = 'r:0'),
+    f"""{GRAPH}, b AS (SELECT src, dst FROM e WHERE type = 'PART_OF' UNION SELECT dst, src FROM e WHERE type = 'PART_OF'), p1 AS (SELECT src AS a, dst AS b FROM b WHERE src LIKE 'r:%'),
     p2 AS (SELECT p1.a, p1.b, b.dst AS c FROM p1 JOIN b ON b.src = p1.b WHERE b.dst <> p1.a) SELECT a || '>' || b || '>' || c AS path FROM p2"""
 )
 def paths_exact_depth(spark, sf_dir):
     e = edges(spark, sf_dir).where("type = 'PART_OF'")
-    return G.paths(e, vertices(spark, sf_dir).where("id = 'r:0'").select("id"), 2).select(F.array_join("path", ">").alias("path"))
+    return G.paths(e, vertices(spark, sf_dir).where("type = 'region'").select("id"), 2).select(F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -141,29 +142,39 @@ def connected_components(spark, sf_dir):
     return found.select(F.col("node").alias("id"), "component")
 
 
-_RANK = "x AS (SELECT src, dst FROM e WHERE type = 'PART_OF'), n AS (SELECT id FROM v WHERE type <> 'orders' AND type <> 'part'), k AS (SELECT count(*)::DOUBLE AS k FROM n), r0 AS (SELECT id, 1 / k AS rank FROM n, k)" + "".join(
-    f", r{i} AS (SELECT n.id, 0.15::DOUBLE / k + 0.85::DOUBLE * coalesce(s.got, 0) AS rank FROM n CROSS JOIN k LEFT JOIN (SELECT x.dst, sum(r.rank) AS got FROM x JOIN r{i - 1} r ON r.id = x.src GROUP BY x.dst) s ON s.dst = n.id)" for i in range(1, 4)
+_RANK = "o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), x AS (SELECT e.src, e.dst, 1.0::DOUBLE / o.n AS share FROM e JOIN o USING (src)), k AS (SELECT count(*)::DOUBLE AS k FROM v), r0 AS (SELECT id, 1 / k AS rank FROM v, k)" + "".join(
+    f", r{i} AS (SELECT v.id, 0.15::DOUBLE / k + 0.85::DOUBLE * coalesce(s.got, 0) AS rank FROM v CROSS JOIN k LEFT JOIN (SELECT x.dst, sum(r.rank * x.share) AS got FROM x JOIN r{i - 1} r ON r.id = x.src GROUP BY x.dst) s ON s.dst = v.id)" for i in range(1, 4)
 )
 
 
 @query(f"{GRAPH}, {_RANK} SELECT id, round(rank, 9) AS rank FROM r3")
 def pagerank_fixed_iters(spark, sf_dir):
-    """Three rounds on the containment tree, where each vertex has one out-link at most."""
-    v = vertices(spark, sf_dir).where("type NOT IN ('orders', 'part')")
-    return G.pagerank(v, edges(spark, sf_dir).where("type = 'PART_OF'"), iterations=3, tolerance=0.0).select("id", F.round("rank", 9).alias("rank"))
+    """Three rounds over the whole graph, parallel edges counted."""
+    return G.pagerank(vertices(spark, sf_dir), edges(spark, sf_dir), iterations=3, tolerance=0.0).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query()
+def pagerank_full(spark, sf_dir):
+    """PageRank of the whole graph until no rank moves by 1e-6, a hundred rounds at most."""
+    return G.pagerank(vertices(spark, sf_dir), edges(spark, sf_dir), iterations=100).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def graph_components(spark, sf_dir):
+    """Components of the whole graph with three vertices or more, largest first, at most five."""
+    found = components(edges(spark, sf_dir), "src", "dst").groupBy("component").agg(F.count("*").alias("size"))
+    return found.where("size >= 3").orderBy(F.desc("size"), "component").limit(5)
 
 
 @query()
 def label_communities(spark, sf_dir):
-    """Communities of the containment edges by label propagation, with their sizes."""
-    e = edges(spark, sf_dir).where("type = 'PART_OF'")
-    found = G.label_propagation(vertices(spark, sf_dir).where("type NOT IN ('orders', 'part')"), e)
+    """Communities of the whole graph by label propagation, with their sizes."""
+    found = G.label_propagation(vertices(spark, sf_dir), edges(spark, sf_dir))
     return found.groupBy("community").agg(F.count("*").alias("members"))
 
 
 @query()
 def betweenness_sampled(spark, sf_dir):
-    """Betweenness on the containment edges of regions, nations and suppliers, with regions and nations as sources."""
-    v = vertices(spark, sf_dir).where("type IN ('region', 'nation', 'supplier')").select("id", "type")
-    e = G.induced(edges(spark, sf_dir).where("type = 'PART_OF'"), v)
-    return G.betweenness(v, e, v.where("type <> 'supplier'")).withColumn("score", F.round("score", 6))
+    """Betweenness over the whole graph, with regions and nations as sampled sources."""
+    v = vertices(spark, sf_dir)
+    return G.betweenness(v, edges(spark, sf_dir), v.where("type IN ('region', 'nation')").select("id")).withColumn("score", F.round("score", 6))

@@ -144,8 +144,8 @@ def keyset_cursors(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", cursor.alias("cursor"))
 
 
-@query("SELECT 'sync' AS session, count(*) FILTER (event_id % 10 <> 0) AS processed, count(*) FILTER (event_id % 10 = 0) AS failed, max(event_id) AS checkpoint FROM events")
+@query("SELECT event_type AS session, count(*) FILTER (value <= 150) AS processed, count(*) FILTER (value > 150) AS failed, max(event_id) AS checkpoint FROM events GROUP BY 1")
 def sync_counters(spark, sf_dir):
-    """Counters and the last checkpoint of a sync session in which every tenth event failed."""
-    e = table(spark, sf_dir, "events")
-    return e.agg(F.count_if(F.col("event_id") % 10 != 0).alias("processed"), F.count_if(F.col("event_id") % 10 == 0).alias("failed"), F.max("event_id").alias("checkpoint")).select(F.lit("sync").alias("session"), "processed", "failed", "checkpoint")
+    """Counters and the last checkpoint of a sync session for each event type, in which large values fail."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("session"))
+    return e.agg(F.count_if(F.col("value") <= 150).alias("processed"), F.count_if(F.col("value") > 150).alias("failed"), F.max("event_id").alias("checkpoint"))
