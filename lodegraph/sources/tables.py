@@ -17,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the one that the cluster names in spark.checkpoint.dir, or in the warehouse where it is unset.
 
-    It is deleted when the application ends.
+    A warehouse on a machine's own disk is taken only where the master is local: elsewhere it raises. The folder is
+    deleted when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/lodegraph-{uuid.uuid4().hex}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{named or spark.conf.get('spark.sql.warehouse.dir')}/lodegraph-{uuid.uuid4().hex}")
         files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not named and files.getScheme() == "file" and not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is a local one")
         files.mkdirs(path)
         files.deleteOnExit(path)
         _FOLDERS[app] = path.toString()
@@ -37,9 +40,23 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def drop(frame: DataFrame) -> None:
+    """Delete the files of a scratch table whose last reader is done; other files are left alone."""
+    spark = frame.sparkSession
+    for name in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if "/lodegraph-" in name:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(frame: DataFrame, partitions: int | None = None) -> DataFrame:
     """frame written once to the shared folder and read back: lineage ends there and lost executors cost nothing."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     (frame.coalesce(partitions) if partitions else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
