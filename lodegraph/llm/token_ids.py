@@ -25,14 +25,16 @@ from lodegraph.sources.tables import scratch_path, table
 
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
-#: Chunks that a worker remembers, of at most so many characters; a cache only.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 32
-#: Chunks that are encoded in one call.
-TOGETHER = 512
+#: Parts that a worker remembers, of at most so many characters; a cache only.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 32
+#: Parts that are encoded in one text.
+TOGETHER = 128
+#: Bytes of text that are encoded at once; a longer document is alone.
+SLICE = 4 << 20
 #: The id that ends a document.
 END_ID = 2
 
-_SPACE, _MARK = r"[\x20\x09-\x0D]+", "\x01"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _known: dict[int, Encoder] = {}
 
 
@@ -46,50 +48,57 @@ class Encoder:
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(content)
         self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         self.parts_apart = parts_apart(content)
-        self.mark = self._ids([_MARK])[0] if self.parts_apart else []
-        self.cache: dict[str, np.ndarray] = {}
+        self.as_bytes = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(192, 256))}
+        self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of parts: those of letters a to z go to the model at once, others through the whole tokenizer, many in a text with marks between."""
-        out: list[np.ndarray | None] = [None] * len(parts)
-        letters = [(i, p.lower()) for i, p in enumerate(parts) if p.isascii() and p.isalpha() and len(p) < 1_000]
-        for low in range(0, len(letters), TOGETHER):
-            some = letters[low : low + TOGETHER]
-            for (i, _), e in zip(some, self.plain.encode_batch_fast([p for _, p in some], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, dtype=np.int32)
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        short = [i for i in rest if len(self.mark) == 1 and len(parts[i]) < 1_000 and _MARK not in parts[i] and parts[i].isprintable()]
-        for low in range(0, len(short), TOGETHER):
-            some = short[low : low + TOGETHER]
-            ids = np.array(self._ids([f" {_MARK} ".join(parts[i] for i in some)])[0], dtype=np.int32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark[0]))
-            if len(pieces) == len(some):
-                for j, (i, piece) in enumerate(zip(some, pieces, strict=True)):
-                    out[i] = piece[1:] if j else piece
-        for i in rest:
-            if out[i] is None:
-                out[i] = np.array(self._ids([parts[i]])[0], dtype=np.int32)
+    def _together(self, tokenizer, parts: list[str]) -> list[bytes]:
+        """Ids of parts, many in a text; those of a text whose number of words isn't that of its parts are encoded alone."""
+        out: list[bytes] = []
+        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        for group, e in zip(groups, tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            words = np.array(e.word_ids, dtype=np.int64)
+            if words[-1] + 1 == len(group):  # a part is a word at least, so each is one
+                raw, ends = np.array(e.ids, dtype="<i4").tobytes(), (np.flatnonzero(np.diff(words)) + 1) * 4
+                out += [raw[a:b] for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(raw)])]
+            else:
+                out += [np.array(ids, dtype="<i4").tobytes() for ids in self._ids(group)]
+        return out
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts as bytes: words of Latin letters, which no normal form changes, go to the model at once, others through the whole tokenizer."""
+        out: list[bytes] = [b""] * len(parts)
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, part in enumerate(parts):
+            kinds[2 if len(part) > 1_000 else 0 if _LATIN.fullmatch(part) else 1 if part.isalpha() else 2].append(i)
+        for at, made in (
+            (kinds[0], self._together(self.plain, [parts[i].lower().translate(self.as_bytes) for i in kinds[0]])), (kinds[1], self._together(self.tokenizer, [parts[i] for i in kinds[1]])),
+            (kinds[2], [np.array(ids, dtype="<i4").tobytes() for ids in self._ids([parts[i] for i in kinds[2]])]),
+        ):
+            for i, ids in zip(at, made, strict=True):
+                out[i] = ids
         return out
 
     def _of_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern_regex(pc.replace_substring_regex(texts, r"([A-Za-z])([,.;:!?])", r"\1 \2"), _SPACE)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z])([,.;:!?])", r"\1 \2"))
         coded = lists.flatten().dictionary_encode()
-        parts = coded.dictionary.to_pylist()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = [self.cache.get(p) for p in parts]
         missing = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(missing, self._new([parts[i] for i in missing]), strict=True):
             found[i] = ids
             if len(self.cache) < REMEMBERED and len(parts[i]) <= REMEMBERED_CHARS:
                 self.cache[parts[i]] = ids
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        starts, values = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([*found, np.zeros(0, dtype=np.int32)])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts, values = np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(found), dtype="<i4")
         at = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[at]
         ends = np.cumsum(n)
@@ -156,7 +165,7 @@ def write_token_ids(docs: DataFrame, path: str, content: str, end: int | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(sent.value), 0
         for batch in batches:
-            for low, high, _, _ in text_slices(batch.column("text")):
+            for low, high, _, _ in text_slices(batch.column("text"), SLICE):
                 own = batch.slice(low, high - low)
                 ids, counts = encoder.encode(own.column("text"), end)
                 ends = np.cumsum(counts)

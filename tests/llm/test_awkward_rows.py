@@ -37,6 +37,8 @@ def folder(spark, rows, tmp_path_factory):
     spark.createDataFrame([(*r, *EXTRA) for r in rows], SCHEMA).write.parquet(f"{out}/documents.parquet")
     labels = [(i, i % 2, int(i % 5 == 0)) for i in range(40)] + [(None, 1, 0), (5, None, None), (7, 1, 1), (7, 0, 1), (999, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    vectors = [(i, [float(i % 7), -float(i % 5), 0.25] * 3, i % 3) for i in range(40)] + [(None, None, None), (3, [0.0] * 9, None), (3, [0.0] * 9, None), (4, [float("nan")] * 9, 1), (5, [None], 2), (6, [], 2)]
+    spark.createDataFrame([(*v, "x", "y") for v in vectors], "vec_id long, embedding array<float>, label int, code string, entry string").write.parquet(f"{out}/embeddings.parquet")
     items = [(0, rows[9][1]), (1, None), (2, ""), (3, rows[9][1]), (4, "same " * 300), (None, "an item without an id")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
     return out
@@ -45,12 +47,12 @@ def folder(spark, rows, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark"):
+    for name in ("documents", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{out}/{name}.parquet")
     return out
 
 
-EACH_ROW = {"op1_toxicity", "op2_sharding", "op3_mixing", "op5_ngram_join", "op6_pii", "op7_fingerprint", "op8_quality", "op10_secrets"}
+EACH_ROW = {"op1_toxicity", "op2_sharding", "op3_mixing", "op5_ngram_join", "op6_pii", "op7_fingerprint", "op8_quality", "op10_secrets", "op12_token_ids", "op13_merkle"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
@@ -61,7 +63,7 @@ def test_operator(spark, folder, empty, rows, name):
         assert count(r.doc_id for r in got) == count(r[0] for r in rows)
     by = collections.defaultdict(list)
     for r in got:
-        by[r.doc_id].append(r)
+        by[r.vec_id if name == "op11_codes" else r.doc_id].append(r)
     if name == "op1_toxicity":
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got) and len({r.score for r in got}) > 20
     elif name == "op2_sharding":
@@ -81,6 +83,12 @@ def test_operator(spark, folder, empty, rows, name):
         assert len({r.fingerprint for r in by[5]}) == 2 and {r.n_chars for r in by[105]} == {100_000}
     elif name == "op9_passages":
         assert all(r.doc_id is not None and r.end_word - r.start_word >= 50 for r in got)
+    elif name == "op11_codes":
+        assert len(got) == 43 and len(by[3]) == 3 and len(by[4]) == 1 and {len(r.code) for r in got} == {16}
+    elif name == "op12_token_ids":
+        assert {r.n_tokens for r in by[100]} == {1} and len({r.start for r in got}) == len(rows)
+    elif name == "op13_merkle":
+        assert len({r.root for r in got}) == 1 and {r.verified for r in by[100]} == {True}
     elif name == "op10_secrets":
         assert by[-5][0].n_assign == 1
     assert entry.queries()[name](spark, empty).count() == 0
