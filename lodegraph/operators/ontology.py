@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.operators.fuzzy import near_names
+
 # fixed values: classes and the class above each
 PARENTS = {
     "BusinessFlowEntity": "Entity", "OrganizationalEntity": "Entity", "TechnicalEntity": "Entity", "ArtifactEntity": "Entity", "GovernanceEntity": "Entity", "MeasurementEntity": "Entity",
@@ -57,8 +59,9 @@ def closure(parents: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
 
 def suggestions(names: DataFrame, known: DataFrame, distance: int = 3) -> DataFrame:
     """(name, suggestion, distance): known types within an edit distance of each unknown name, nearest first in place."""
-    pairs = names.select("name").distinct().join(F.broadcast(known.select(F.col("type").alias("suggestion"))), F.levenshtein(F.lower("name"), F.lower("suggestion")) <= distance)
-    return pairs.select("name", "suggestion", F.levenshtein(F.lower("name"), F.lower("suggestion")).alias("distance"))
+    near = near_names(names, known.select(F.col("type").alias("name")), distance)
+    same = names.select("name").distinct().join(known.select(F.col("type").alias("name")).distinct(), "name")  # a known name suggests itself
+    return near.select("name", F.col("match").alias("suggestion"), "distance").unionByName(same.select("name", F.col("name").alias("suggestion"), F.lit(0).alias("distance")))
 
 
 def validated(edges: DataFrame, types: DataFrame, relation_table: DataFrame, closed: DataFrame) -> DataFrame:

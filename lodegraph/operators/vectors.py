@@ -20,26 +20,31 @@ def cosine(one: Column, other: Column) -> Column:
     return F.when((F.size(one) == F.size(other)) & (norm > 0), dot(one, other) / norm).otherwise(F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", least: float = -1.0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", least: float = -1.0, other: str | None = None) -> DataFrame:
     """(query, item, score, position): the k most similar vectors of each query, itself left out, ties by item.
 
+    other names a column in which an item must differ from its query (a null differs from all others, not from a null).
     Queries go to the tasks in blocks of QUERY_BLOCK, each task keeps k of each query, and one small shuffle merges them.
     """
     total = queries.count()
     parts = max(1, -(-total // QUERY_BLOCK))
     found = []
     for part in range(parts):
-        block = queries.where(F.pmod(F.xxhash64(ident), F.lit(parts)) == part).select(ident, vector).toArrow()
+        group = (F.xxhash64(other) if other else F.lit(0).cast("long")).alias("_group")
+        block = queries.where(F.pmod(F.xxhash64(ident), F.lit(parts)) == part).select(ident, vector, group).toArrow()
         ids = np.array(block.column(ident), dtype=np.int64)
         matrix = _unit(block.column(vector).combine_chunks()) if len(ids) else np.zeros((0, 1))
+        groups = np.array(block.column("_group"), dtype=np.int64)
 
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, groups=groups) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
                 items = np.array(batch.column(ident), dtype=np.int64)
                 scores = matrix @ _unit(batch.column(vector)).T
                 scores[ids[:, None] == items[None, :]] = -2.0
+                if other:
+                    scores[groups[:, None] == np.array(batch.column("_group"), dtype=np.int64)[None, :]] = -2.0
                 top = min(k, len(items))
                 best = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :top]
                 q = np.repeat(ids, top)
@@ -47,7 +52,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id
                 ok = picked > max(-1.5, least - 1e-12)
                 yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(item[ok]), pa.array(picked[ok])], names=["query", "item", "score"])
 
-        found.append(vectors.select(ident, vector).mapInArrow(search, "query long, item long, score double"))
+        found.append(vectors.select(ident, vector, group).mapInArrow(search, "query long, item long, score double"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -80,12 +80,8 @@ _LADDER = (0.50, 0.45, 0.40, 0.35)
 def cross_document_resolution(spark, sf_dir):
     """Each asked vector's nearest one of another document (label), and what becomes of it; the ladder fits these vectors."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where(_ASKED)
-    labels = v.select(F.col("vec_id").alias("item"), F.col("label").alias("there"))
-    own = asked.select(F.col("vec_id").alias("query"), F.col("label").alias("here"))
-    every = V.nearest(v, asked, v.count()).join(labels, "item").join(own, "query").where("here <> there")
-    best = every.groupBy("query").agg(F.max_by(F.struct("item", "score"), F.struct("score", -F.col("item"))).alias("b"))
-    return best.select("query", "b.item", F.round("b.score", 6).alias("similarity"), R.action(F.col("b.score"), _LADDER).alias("action"))
+    best = V.nearest(v, v.where(_ASKED), 1, other="label")
+    return best.select("query", "item", F.round("score", 6).alias("similarity"), R.action(F.col("score"), _LADDER).alias("action"))
 
 
 @query(

@@ -8,6 +8,7 @@ from lodegraph.functions import names as N
 from lodegraph.operators import evaluation as E
 from lodegraph.operators import graph as G
 from lodegraph.operators import retrieval as R
+from lodegraph.operators import text_index as T
 from lodegraph.operators import vectors as V
 from lodegraph.operators.security import User
 from lodegraph.plans.document_queries import _WORDS
@@ -15,7 +16,7 @@ from lodegraph.plans.ontology_queries import _TYPES, _case, typed
 from lodegraph.plans.registry import query
 from lodegraph.plans.store_queries import _STATUS, statuses
 from lodegraph.plans.views import GRAPH, SECURED, edges, secured
-from lodegraph.sources.tables import table
+from lodegraph.sources.tables import scratch_path, table
 
 _USER = User("reader", ("g1", "g2"), "src3", "u2")
 _BM25 = f"""dw AS (SELECT doc_id AS item, {_WORDS} AS w FROM documents), qw AS (SELECT item_id AS query, unnest(list_distinct({_WORDS})) AS term FROM benchmark), sp AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dw),
@@ -37,6 +38,15 @@ def text_search(spark, sf_dir):
     return _texts(spark, sf_dir, 10).select("query", "item", F.round("score", 6).alias("score"), "position")
 
 
+@query(f"WITH {_BM25}, {_BEST} SELECT query, item, round(score, 6) AS score, position::INT AS position FROM bt WHERE position <= 10")
+def indexed_text_search(spark, sf_dir):
+    """The same by a posting table whose blocks are read where they can matter alone."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), N.words(F.col("text")).alias("words"))
+    index = T.build(words, scratch_path(spark))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), N.words(F.col("text")).alias("words"))
+    return T.search(index, asked, 10).select("query", "item", F.round("score", 6).alias("score"), "position")
+
+
 _ALLOWED = "classification IN ('public', 'internal') AND (len(allowed_groups) = 0 OR list_has_any(allowed_groups, ['g1', 'g2'])) AND (department IS NULL OR department = 'src3')"
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators import breaker as B
 from lodegraph.operators import rules as R
 from lodegraph.plans.activity_queries import events
 from lodegraph.plans.registry import query
 from lodegraph.sources.tables import table
 from lodegraph.streaming import state as T
+from lodegraph.streaming.breakers import breakers
 
 #: The events table has hours where a server log has minutes, so windows are so many times as long, and other kinds.
 _STRETCH = 1_440
@@ -198,3 +200,31 @@ def streamed_alerts(spark, sf_dir):
     """Days on which a user had two errors or views, from a stream."""
     found = T.alerts(spark, f"{sf_dir}/events.parquet", "user_id", ["error", "view"], 2, "1 day")
     return found.withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+# six calls or more of a user in five days, half of them too slow: open for a day
+_RULE = B.Rule(window=5 * 86_400_000_000, reset=86_400_000_000, volume=6, threshold=0.5)
+_BREAKERS = """WITH RECURSIVE c AS (SELECT user_id, epoch_us(ts) AS t, value > 60 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT user_id, 0 AS k, 'closed' AS state, -1::BIGINT AS since, 0::BIGINT AS calls, 0::BIGINT AS failures, 0::BIGINT AS rejected, 0::BIGINT AS opened, []::STRUCT(t BIGINT, bad BOOLEAN)[] AS recent FROM c
+  UNION ALL SELECT user_id, nk, CASE WHEN now = 'open' THEN 'open' WHEN now = 'half-open' THEN CASE WHEN bad THEN 'open' ELSE 'closed' END WHEN trips THEN 'open' ELSE 'closed' END, CASE WHEN now = 'half-open' OR now = 'closed' AND trips THEN t ELSE since END,
+    calls + (now <> 'open')::INT, failures + (now <> 'open' AND bad)::INT, rejected + (now = 'open')::INT, opened + (now = 'half-open' AND bad OR now = 'closed' AND trips)::INT, CASE WHEN now <> 'closed' OR trips THEN [] ELSE held END
+  FROM (SELECT *, bad AND len(held) >= 6 AND len(list_filter(held, lambda z: z.bad)) >= 0.5 * len(held) AS trips FROM (SELECT r.*, c.* EXCLUDE (user_id, k), c.k AS nk,
+    CASE WHEN state = 'open' AND c.t >= since + 86400000000 THEN 'half-open' ELSE state END AS now, list_append(list_filter(recent, lambda z: z.t > c.t - 5 * 86400000000), {'t': c.t, 'bad': c.bad}) AS held FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1) x) y),
+z AS (SELECT *, state = 'open' AND since + 86400000000 <= (SELECT max(t) FROM c) AS over FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)
+SELECT user_id::VARCHAR AS service, CASE WHEN over THEN 'half-open' ELSE state END AS state, strftime(make_timestamp(nullif(CASE WHEN over THEN since + 86400000000 ELSE since END, -1)), '%Y-%m-%d %H:%M:%S') AS since, calls, failures, rejected, opened FROM z"""
+
+
+def _told(found):
+    return found.withColumn("since", F.date_format("since", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(_BREAKERS)
+def breaker_states(spark, sf_dir):
+    """Every user's circuit breaker after all calls, replayed one by one."""
+    return _told(B.replayed(table(spark, sf_dir, "events"), "user_id", "ts", F.col("value") > 60, "event_id", _RULE))
+
+
+@query(_BREAKERS)
+def streamed_breakers(spark, sf_dir):
+    """The same as keyed state with timers, of a stream of the calls."""
+    return _told(breakers(spark, f"{sf_dir}/events.parquet", "user_id", "ts", F.col("value") > 60, "event_id", _RULE))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodegraph.operators import vector_index as I
 from lodegraph.operators import vectors as V
 from lodegraph.plans.registry import query
-from lodegraph.sources.tables import table
+from lodegraph.sources.tables import scratch_path, table
 
 _ASKED = "vec_id % 50 = 0"
 _TOP = """p AS (SELECT q.vec_id AS query, v.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s, q.label = v.label AS same FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
@@ -53,3 +54,27 @@ def centroid_coherence(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     near = e.join(V.centroids(e, "label"), "label").select("label", V.cosine(F.col("embedding"), F.col("centroid")).alias("s"))
     return near.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("coherence"))
+
+
+def _index(spark, sf_dir):
+    """All vectors in cells, with their label and the documents that they come from (two of ten)."""
+    v = table(spark, sf_dir, "embeddings").withColumn("docs", F.array(F.col("vec_id") % 10, F.col("vec_id") % 7))
+    return v, I.build(v, scratch_path(spark), keep=("label", "docs"))
+
+
+@query(f"WITH {_TOP} SELECT query, item, round(s, 6) AS score, position::INT AS position FROM t WHERE position <= 10")
+def indexed_topk(spark, sf_dir):
+    """The same ten by the index: probed cells first, then those that may hold a better one."""
+    v, index = _index(spark, sf_dir)
+    return I.search(index, v.where(_ASKED), 10).select("query", "item", F.round("score", 6).alias("score"), "position")
+
+
+@query(
+    """WITH v AS (SELECT *, [vec_id % 10, vec_id % 7] AS docs FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM v q JOIN v ON q.vec_id <> v.vec_id AND q.label IS NOT DISTINCT FROM v.label AND NOT list_has_any(q.docs, v.docs) WHERE q.vec_id % 50 = 0 AND v.vec_id % 3 > 0)
+    SELECT query, item, round(s, 6) AS score, (row_number() OVER (PARTITION BY query ORDER BY s DESC, item))::INT AS position FROM p QUALIFY position <= 5"""
+)
+def similar_entities(spark, sf_dir):
+    """The five nearest of the same label that share no document, among the rows that a filter leaves."""
+    v, index = _index(spark, sf_dir)
+    found = I.search(index, v.where(_ASKED), 5, same="label", without="docs", where=F.col("vec_id") % 3 > 0)
+    return found.select("query", "item", F.round("score", 6).alias("score"), "position")
