@@ -293,6 +293,30 @@ def test_passage_recall_against_all_windows(spark):
     assert all(best_window_pairs(texts[a], texts[b], 50) for a, b in near)
 
 
+@pytest.mark.parametrize("n, changes", [(50, 1), (60, 2), (80, 2)])
+def test_passage_recall_in_families(spark, n, changes):
+    """Families of twelve texts that each vary one passage: few are like the head of their group, more like one another."""
+    texts = []
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        for _ in range(4):
+            base = sentence(rng, n).split()
+            for _ in range(12):
+                v = list(base)
+                for at in rng.choice(n, size=changes, replace=False):
+                    v[at] = "".join(rng.choice(list("bcdfg"), size=6))
+                texts.append(f"{sentence(rng, int(rng.integers(10, 40)))} {' '.join(v)} {sentence(rng, 15)}")
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if i // 12 == j // 12 and best_window_pairs(texts[i], texts[j])]
+    got = passages.op9_passages(spark, "", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for r in got:
+        root[find(r.doc_id)] = find(r.other_id)
+    need = {i for p in want for i in p}
+    assert len(want) >= 60 and np.mean([find(i) == find(j) for i, j in want]) >= 0.9 and len({r.doc_id for r in got} & need) >= 0.9 * len(need)
+    assert all(best_window_pairs(texts[r.doc_id], texts[r.other_id]) for r in got)
+
+
 def test_passages_inside_a_document_and_on_awkward_rows(spark):
     rng = np.random.default_rng(13)
     twice, other = sentence(rng, 60), sentence(rng, 55)
