@@ -58,12 +58,12 @@ def _probes(spark, sf_dir):
 
 @query(
     f"""WITH {VERSIONS}, p AS (SELECT event_id, user_id AS entity, {_ASKED} AS t FROM events)
-    SELECT event_id, p.entity, version_id, version_sequence FROM p LEFT JOIN vs ON vs.entity = p.entity AND valid_from <= t AND (valid_to IS NULL OR valid_to > t) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY valid_from DESC, version_id DESC) = 1"""
+    SELECT event_id, p.entity, coalesce(version_id, -1) AS version_id, coalesce(version_sequence, 0) AS version_sequence FROM p LEFT JOIN vs ON vs.entity = p.entity AND valid_from <= t AND (valid_to IS NULL OR valid_to > t) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY valid_from DESC, version_id DESC) = 1"""
 )
 def versions_as_of(spark, sf_dir):
-    """The version of its user that was valid at each event."""
+    """The version of its user that was valid at each event, -1 where none was."""
     v = versions(spark, sf_dir).select("entity", "version_id", "version_sequence", "valid_from", "valid_to")
-    return asof.as_of(_probes(spark, sf_dir), v, "entity", "at", "valid_from", "valid_to", "version_id").select("event_id", "entity", "version_id", F.col("version_sequence").cast("long").alias("version_sequence"))
+    return asof.as_of(_probes(spark, sf_dir), v, "entity", "at", "valid_from", "valid_to", "version_id").select("event_id", "entity", F.coalesce("version_id", F.lit(-1)).alias("version_id"), F.coalesce(F.col("version_sequence").cast("long"), F.lit(0)).alias("version_sequence"))
 
 
 @query(
