@@ -99,6 +99,18 @@ def risk_level(affected: Column, critical: Column) -> Column:
     return F.when((critical > 5) | (affected > 50), "critical").when((critical > 2) | (affected > 20), "high").when((critical > 0) | (affected > 5), "medium").otherwise("low")
 
 
+def advice(direct: Column, critical: Column) -> Column:
+    """caution, warning, notice, info or ok, by how many critical vertices a removal reaches, and how many at once."""
+    return F.when(critical > 5, "caution").when(critical > 0, "warning").when(direct > 10, "notice").when(direct > 0, "info").otherwise("ok")
+
+
+def broken_edges(edges: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """(id, src, dst, type): the distinct edges that go with each removed vertex (id), or with any vertex; a loop once."""
+    rows = edges.select("src", "dst", "type").distinct()
+    ends = rows.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), "src", "dst", "type")
+    return ends if removed is None else ends.join(removed.select("id").distinct(), "id", "left_semi")
+
+
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(path): simple undirected paths of exactly depth hops from the seeds (id), as arrays of ids."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()

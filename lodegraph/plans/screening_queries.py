@@ -122,9 +122,15 @@ def weekly_review(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(day("week").alias("week"), day("month").alias("month")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("SELECT trim(lower(event_type)) AS asked, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, asked LIMIT 3")
+_ASKED = "lower(trim(regexp_extract(text, '^[^ ]+ [^ .,]+')))"
+
+
+@query(f"SELECT {_ASKED} AS asked, count(*) AS n FROM conversations WHERE role = 'user' AND {_ASKED} <> '' GROUP BY 1 ORDER BY n DESC, asked LIMIT 10")
 def popular_queries(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(N.entity_key(F.col("event_type")).alias("asked")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "asked").limit(3)
+    """The ten most frequent openings (two words) of what users ask."""
+    asked = F.lower(F.trim(F.regexp_extract("text", "^[^ ]+ [^ .,]+", 0)))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(asked.alias("asked")).where("asked <> ''")
+    return c.groupBy("asked").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "asked").limit(10)
 
 
 @query(
