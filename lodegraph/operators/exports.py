@@ -16,12 +16,12 @@ def _shaped(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "csv") -> None:
     """Write nodes and edges under path/nodes and path/edges as csv (with a header, quotes doubled) or json lines, and path/metadata.
 
-    Missing columns are null; nulls are empty fields in CSV and left out in JSON. Files are as many as tasks.
+    Missing columns are null; nulls are empty fields in CSV, where an empty text reads as a null too, and left out in JSON. Files are as many as tasks.
     """
     for name, rows, columns in (("nodes", nodes, NODES), ("edges", edges, EDGES)):
         shaped = _shaped(rows, columns)
         if form == "csv":
-            shaped.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(f"{path}/{name}")
+            shaped.write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/{name}")
         elif form == "json":
             shaped.write.json(f"{path}/{name}")
         else:

@@ -173,3 +173,21 @@ def betweenness(vertices: DataFrame, edges: DataFrame, sources: DataFrame, max_d
     total, used = vertices.count(), levels[0].count()
     sums = every.where("s <> id").groupBy("id").agg((F.sum("delta") * (0.5 * total / max(used, 1))).alias("score"))
     return vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def sampled(vertices: DataFrame, most: int, seed: int = 5) -> DataFrame:
+    """(id): most vertices drawn by a hash of their ids, all if there are no more; reruns agree."""
+    return vertices.select("id").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
+
+
+def bridges(scores: DataFrame, n: int, threshold: float = 0.1) -> DataFrame:
+    """(id, score) of vertices whose betweenness, as a share of the pairs that it could stand between, is threshold or more."""
+    pairs = max(1.0, (n - 1) * (n - 2) / 2)
+    return scores.select("id", (F.col("score") / F.lit(float(pairs))).alias("score")).where(F.col("score") >= threshold)
+
+
+def induced(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices among ids (id), and the edges between two of them, for communities of a part of a graph."""
+    kept = vertices.join(ids.select("id").distinct(), "id", "left_semi")
+    names = kept.select("id")
+    return kept, edges.join(names.withColumnRenamed("id", "src"), "src", "left_semi").join(names.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.ranking import best_of
+
 # fixed values: lines of a section at most, the titles, and the importance from which an entity is told apart
 MOST_ENTITIES, MOST_RELATIONS, MOST_COMMUNITIES = 10, 30, 3
 TITLES = ("Relevant Entities", "Relationships", "Source Documents", "Knowledge Community Insights")
 KEY, IMPORTANT = 0.7, 0.5
 
 
-def best_of(rows: DataFrame, group: str, most: int, order: list[Column], spread: Column, parts: int = 32) -> DataFrame:
-    """The first most rows of each group in an order, with place from 1: first within parts of a group, then of what those leave.
-
-    spread tells rows of a group apart, so that a group of any size is sorted by many tasks.
-    """
-    inner = Window.partitionBy(group, "_part").orderBy(*order)
-    kept = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts))).withColumn("place", F.row_number().over(inner)).where(F.col("place") <= most).drop("place", "_part")
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= most)
-
-
 def entity_lines(entities: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:
     """(query, place, line) of entities (query, name, type, description, importance): the most important first, ties by name.
 
     A missing importance is 0; parts that are missing or empty are left out of a line.
     """
     value = F.coalesce("importance", F.lit(0.0))
-    best = best_of(entities.withColumn("importance", value), "query", most, [F.desc("importance"), F.col("name")], F.col("name"))
+    best = best_of(entities.withColumn("importance", value), ["query"], most, [F.desc("importance"), F.col("name")], F.col("name"))
     mark = F.when(F.col("importance") > KEY, "[Key Entity]").when(F.col("importance") > IMPORTANT, "[Important]")
     kind, told = F.when(F.length("type") > 0, F.concat(F.lit("("), "type", F.lit(")"))), F.when(F.length("description") > 0, F.concat(F.lit(": "), "description"))
     return best.select("query", "place", F.concat_ws(" ", F.concat(F.lit("**"), "name", F.lit("**")), kind, mark, told).alias("line"))
@@ -35,7 +27,7 @@ def entity_lines(entities: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:
 
 def relation_lines(relations: DataFrame, most: int = MOST_RELATIONS) -> DataFrame:
     """(query, place, line) of relations (query, place, src, type, dst): the first by place."""
-    best = best_of(relations.withColumnRenamed("place", "_at"), "query", most, [F.col("_at"), F.col("src"), F.col("dst"), F.col("type")], F.struct("src", "dst", "type"))
+    best = best_of(relations.withColumnRenamed("place", "_at"), ["query"], most, [F.col("_at"), F.col("src"), F.col("dst"), F.col("type")], F.struct("src", "dst", "type"))
     return best.select("query", "place", F.concat(F.lit("- "), "src", F.lit(" --["), "type", F.lit("]--> "), "dst").alias("line"))
 
 
@@ -57,7 +49,7 @@ def community_lines(communities: DataFrame, keys: DataFrame, entities: DataFrame
     asked = entities.select("query", F.lower("name").alias("_name")).distinct()
     share = asked.join(own, "_name").groupBy("query", "community").agg(F.count("*").alias("_hit")).join(size, "community")
     scored = share.select("query", "community", (F.col("_hit") / F.col("_keys")).alias("relevance"))
-    best = best_of(scored, "query", most, [F.desc("relevance"), F.col("community")], F.col("community"))
+    best = best_of(scored, ["query"], most, [F.desc("relevance"), F.col("community")], F.col("community"))
     count = F.coalesce(F.col("size").cast("string"), F.lit("N/A"))
     line = F.concat(F.lit("### "), F.coalesce("title", F.lit("Knowledge Community")), F.lit(" ("), count, F.lit(" entities)\n"), F.coalesce("summary", F.lit("")))
     return best.join(communities, "community").select("query", "place", line.alias("line"))

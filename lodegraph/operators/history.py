@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.ranking import best_of
 from lodegraph.operators.temporal import valid_closed
 
 
@@ -22,8 +23,7 @@ def neighbours_at(edges: DataFrame, at: Column, most: int = 20) -> DataFrame:
     alive = edges.where(valid_closed(F.col("valid_from"), F.col("valid_to"), at))
     ends = F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("way"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("way"), F.col("src").alias("neighbour")))
     both = alive.select("valid_from", F.explode(ends).alias("x")).select("x.*", "valid_from")
-    w = Window.partitionBy("id", "way").orderBy(F.desc("valid_from"), "neighbour")
-    return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("valid_from")
+    return best_of(both, ["id", "way"], most, [F.desc("valid_from"), F.col("neighbour")], F.struct("neighbour", "valid_from")).drop("valid_from")
 
 
 def with_new_versions(rows: DataFrame, updates: DataFrame, key: str, at: Column) -> tuple[DataFrame, DataFrame]:

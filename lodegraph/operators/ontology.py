@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators.fuzzy import near_names
+from lodegraph.sources.tables import written
 
 # fixed values: classes and the class above each
 PARENTS = {
@@ -49,7 +50,7 @@ def closure(parents: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     level = found = known.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("depth"))
     up = parents.select(F.col("type").alias("ancestor"), "parent")
     for d in range(1, depth + 1):
-        level = level.join(F.broadcast(up), "ancestor").select("type", F.col("parent").alias("ancestor"), F.lit(d).alias("depth"))
+        level = level.join(up, "ancestor").select("type", F.col("parent").alias("ancestor"), F.lit(d).alias("depth"))
         level = level.join(found, ["type", "ancestor"], "left_anti")
         if not level.take(1):
             break
@@ -57,6 +58,43 @@ def closure(parents: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     return found
 
 
+def subtypes(closed: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(root, type, depth, leaf): every class with itself and all below it, by how far, and whether a class has none below.
+
+    closed is what closure gives; of (type) names the roots wanted, all by default. A class on a cycle is no leaf.
+    """
+    below = closed.where("depth = 1").select(F.col("ancestor").alias("type")).distinct().withColumn("_inner", F.lit(True))
+    rows = closed.select(F.col("ancestor").alias("root"), "type", "depth")
+    rows = rows if of is None else rows.join(of.select(F.col("type").alias("root")).distinct(), "root", "left_semi")
+    return rows.join(below, "type", "left").select("root", "type", "depth", F.col("_inner").isNull().alias("leaf"))
+
+
+def tree(parents: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
+    """(type, tree): the classes without a parent, and all below each as nested text, type(child, child(...)), children by name.
+
+    Built from the leaves up, a level a round: a class takes its children's text once each of them has one. Classes on
+    a cycle get none.
+    """
+    links = written(parents.select("type", "parent").distinct())
+    every = links.select("type").union(links.select("parent")).distinct()
+    counts = links.groupBy(F.col("parent").alias("type")).agg(F.count("*").alias("n"))
+    told = written(every.join(counts, "type", "left_anti").select("type", F.col("type").alias("tree")))
+    for _ in range(depth):
+        up = links.join(told, "type").groupBy(F.col("parent").alias("type")).agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "tree"))), lambda x: x.tree), ", ").alias("inner"))
+        fresh = up.join(counts, "type").where("k = n").join(told.select("type"), "type", "left_anti").select("type", F.concat("type", F.lit("("), "inner", F.lit(")")).alias("tree"))
+        fresh = written(fresh)
+        if not fresh.take(1):
+            break
+        told = told.unionByName(fresh)
+    return told.join(links.select("type").distinct(), "type", "left_anti")
+
+
+def ends_of(relation_table: DataFrame, inverses: DataFrame | None = None) -> DataFrame:
+    """(relation, domain, range, inverse): the look-up of what relations lead from and to, with the inverse where one is known (relation, inverse)."""
+    rows = relation_table.select("relation", "domain", "range")
+    return rows.withColumn("inverse", F.lit(None).cast("string")) if inverses is None else rows.join(inverses.select("relation", "inverse"), "relation", "left")
+
+
 def suggestions(names: DataFrame, known: DataFrame, distance: int = 3) -> DataFrame:
     """(name, suggestion, distance): known types within an edit distance of each unknown name, nearest first in place."""
     near = near_names(names, known.select(F.col("type").alias("name")), distance)
@@ -68,15 +106,15 @@ def validated(edges: DataFrame, types: DataFrame, relation_table: DataFrame, clo
     """edges (src, dst, type, confidence) with warnings (array of codes), valid, and adjusted: confidence after the penalties.
 
     types: (id, type). A constraint holds where the end's type is the class or below it. The relations and the closure are
-    dimension tables, broadcast; types of ends are joined.
+    small tables, which Spark broadcasts by their size; types of ends are joined.
     """
     is_a = closed.select(F.col("type"), F.col("ancestor"))
     near = edges.join(types.select(F.col("id").alias("src"), F.col("type").alias("src_type")), "src", "left").join(types.select(F.col("id").alias("dst"), F.col("type").alias("dst_type")), "dst", "left")
-    near = near.join(F.broadcast(relation_table), F.col("type") == F.col("relation"), "left")
+    near = near.join(relation_table, F.col("type") == F.col("relation"), "left")
     for end, bound in (("src", "domain"), ("dst", "range")):
         ok = is_a.select(F.col("type").alias(f"{end}_type"), F.col("ancestor").alias(bound), F.lit(True).alias(f"{end}_ok"))
         known = is_a.select(F.col("type").alias(f"{end}_type"), F.lit(True).alias(f"{end}_known")).distinct()
-        near = near.join(F.broadcast(ok), [f"{end}_type", bound], "left").join(F.broadcast(known), f"{end}_type", "left")
+        near = near.join(ok, [f"{end}_type", bound], "left").join(known, f"{end}_type", "left")
     unknown = F.col("relation").isNull()
     tests = {
         "UNKNOWN_RELATIONSHIP_TYPE": unknown, "DOMAIN_VIOLATION": ~unknown & F.col("src_known").isNotNull() & F.col("src_ok").isNull(), "RANGE_VIOLATION": ~unknown & F.col("dst_known").isNotNull() & F.col("dst_ok").isNull(),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.ranking import best_of
 from lodegraph.sources.tables import written
 
 #: What a neighbour's importance is multiplied by when it joins the queue.
@@ -52,8 +53,7 @@ def neighbours(edges: DataFrame, most: int = 20) -> DataFrame:
     """(id, way, neighbour, type, confidence, place): of every vertex, the most surest edges out and in."""
     ends = F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("way"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("way"), F.col("src").alias("neighbour")))
     once = edges.select(F.explode(ends).alias("x"), "type", "confidence").select("x.*", "type", "confidence").groupBy("id", "way", "neighbour", "type").agg(F.max("confidence").alias("confidence"))
-    w = Window.partitionBy("id", "way").orderBy(F.desc("confidence"), "neighbour", "type")
-    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return best_of(once, ["id", "way"], most, [F.desc("confidence"), F.col("neighbour"), F.col("type")], F.struct("neighbour", "type"))
 
 
 def expanded(edges: DataFrame, importance: DataFrame, seeds: DataFrame, most: int = 10, depth: int = 2, weights: dict[str, float] | None = None) -> DataFrame:

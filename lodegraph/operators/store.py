@@ -71,3 +71,18 @@ def after(rows: DataFrame, sort: str, ident: str, cursor: tuple | None, size: in
 def envelope(rows: DataFrame, size: int = 20) -> DataFrame:
     """One row: total, pages."""
     return rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / F.lit(size)))
+
+
+def archived(rows: DataFrame, ts: str, days: int, archive: str, survivors: str, dry: bool = False) -> tuple[int, int]:
+    """(archived, kept): write rows older than days before the last one to archive, a folder of JSON lines a day, and the others to survivors.
+
+    Nothing is deleted here: a table is read, two are written, and whoever reads goes on with survivors once both are
+    there. A run that is repeated writes the same. Rows without a time survive. dry counts alone.
+    """
+    marked = swept(rows, ts, days).withColumn("archive", F.coalesce("archive", F.lit(False)))
+    counts = {r.archive: r["count"] for r in marked.groupBy("archive").count().collect()}
+    if not dry:
+        old = marked.where("archive").drop("archive").withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
+        old.repartition("day", F.pmod(F.xxhash64(F.struct(*rows.columns)), F.lit(16))).write.mode("overwrite").partitionBy("day").json(archive)  # a busy day is several files
+        marked.where("NOT archive").drop("archive").write.mode("overwrite").parquet(survivors)
+    return counts.get(True, 0), counts.get(False, 0)

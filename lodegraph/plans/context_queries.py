@@ -8,6 +8,7 @@ from lodegraph.operators import exports as X
 from lodegraph.operators import graph as G
 from lodegraph.operators import graph_context as C
 from lodegraph.operators import relation_eval as R
+from lodegraph.operators.ranking import best_of
 from lodegraph.plans.registry import query
 from lodegraph.plans.views import EDGES, VERTICES, edges, vertices
 from lodegraph.sources.tables import scratch_path, table
@@ -33,7 +34,7 @@ def graph_contexts(spark, sf_dir):
     people = people.unionByName(c.select(F.col("c_nationkey").alias("query"), F.col("c_name").alias("name"), F.lit("customer").alias("type"), F.col("c_mktsegment").alias("description"), worth("c_acctbal")))
     relations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").alias("query"), F.col("s_suppkey").alias("place"), F.col("s_name").alias("src"), F.lit("PART_OF").alias("type"), F.col("n_name").alias("dst"))
     texts = d.select((F.col("doc_id") % 25).cast("int").alias("query"), "doc_id", "n_chars", "source", (F.col("doc_id") % 3).alias("page"), F.substring("text", 1, 40).alias("content"))
-    passages = C.best_of(texts, "query", 2, [F.desc("n_chars"), F.col("doc_id")], F.col("doc_id"))
+    passages = best_of(texts, ["query"], 2, [F.desc("n_chars"), F.col("doc_id")], F.col("doc_id"))
     groups = s.select((F.col("s_suppkey") % 7).alias("community"), F.col("s_name").alias("name"))
     known = groups.groupBy("community").agg(F.count("*").alias("size")).select("community", F.concat(F.lit("Group "), "community").alias("title"), "size", F.concat(F.lit("Suppliers of rest "), "community").alias("summary"))
     return C.graph_context(people, relations, passages, known, groups).select(F.col("query").cast("long").alias("query"), F.md5("context").alias("context"))

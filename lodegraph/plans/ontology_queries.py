@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import ontology as O
 from lodegraph.plans.registry import query
-from lodegraph.plans.views import GRAPH, VERSIONS, edges, versions, vertices
+from lodegraph.plans.views import GRAPH, VERSIONS, VERTICES, edges, versions, vertices
 from lodegraph.sources.tables import table
 
 #: Classes that stand for the tables, and relations for the edges between them.
@@ -62,3 +62,20 @@ def replacement_chains(spark, sf_dir):
 @query("SELECT page_id, regexp_extract(url, '([^#/:]*)$', 1) AS name FROM pages")
 def url_local_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", O.local_name(F.col("url")).alias("name"))
+
+
+@query(f"WITH RECURSIVE {_CLOSED} SELECT t.ancestor AS root, t.type, t.depth::INT AS depth, t.type NOT IN (SELECT parent FROM pa) AS leaf, count(v.id) AS vertices FROM cl t LEFT JOIN (SELECT id, {_case('type', _TYPES)} AS type FROM ({VERTICES})) v ON v.type = t.type GROUP BY 1, 2, 3, 4")
+def subtype_members(spark, sf_dir):
+    """Every class with the classes below it, and how many vertices each of those has."""
+    tree = O.subtypes(O.closure(O.classes(spark)))
+    counts = typed(spark, sf_dir).groupBy("type").agg(F.count("*").alias("vertices"))
+    return tree.join(counts, "type", "left").select("root", "type", "depth", "leaf", F.coalesce("vertices", F.lit(0)).cast("long").alias("vertices"))
+
+
+@query("WITH s AS (SELECT DISTINCT s_nationkey AS n, s_suppkey AS s FROM supplier), c AS (SELECT n, string_agg('s' || s, ', ' ORDER BY 's' || s) AS t FROM s GROUP BY 1), m AS (SELECT n_regionkey AS r, CASE WHEN t IS NULL THEN 'n' || n_nationkey ELSE 'n' || n_nationkey || '(' || t || ')' END AS t, 'n' || n_nationkey AS k FROM nation LEFT JOIN c ON n = n_nationkey) SELECT 'r' || r AS type, md5('r' || r || '(' || string_agg(t, ', ' ORDER BY k) || ')') AS tree FROM m GROUP BY r")
+def place_trees(spark, sf_dir):
+    """Regions with their nations and suppliers as nested trees, built from the leaves up."""
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    up = n.select(F.concat(F.lit("n"), "n_nationkey").alias("type"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    up = up.unionByName(s.select(F.concat(F.lit("s"), "s_suppkey").alias("type"), F.concat(F.lit("n"), "s_nationkey").alias("parent")))
+    return O.tree(up).select("type", F.md5("tree").alias("tree"))

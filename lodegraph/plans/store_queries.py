@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import store as S
 from lodegraph.plans.registry import query
-from lodegraph.sources.tables import shared_folder, table
+from lodegraph.sources.tables import scratch_path, shared_folder, table
 
 _STATUS = "st AS (SELECT d.doc_id, source, lang, n_chars, CASE WHEN l.quality = 1 THEN 'completed' WHEN l.quality = 0 THEN 'rejected' ELSE 'pending_review' END AS status FROM documents d LEFT JOIN labels l USING (doc_id))"
 
@@ -164,3 +164,13 @@ def run_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run"), "event_type").agg(F.avg("value").alias("value"))
     runs = e.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "value"))).alias("metrics"))
     return runs.select("run", F.explode("metrics").alias("metric", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("WITH l AS (SELECT max(ts) AS last FROM events) SELECT 'archived' AS place, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events, l WHERE ts < last - INTERVAL 7 DAY GROUP BY ALL UNION ALL SELECT 'kept', strftime(ts, '%Y-%m-%d'), count(*) FROM events, l WHERE ts >= last - INTERVAL 7 DAY GROUP BY ALL")
+def archived_days(spark, sf_dir):
+    """Events by day in the archive and among those that a retention sweep has left, both read back."""
+    old, new = scratch_path(spark), scratch_path(spark)
+    S.archived(table(spark, sf_dir, "events"), "ts", 7, old, new)
+    far = spark.read.schema("event_id long, day string").json(old).groupBy("day").agg(F.count("*").alias("n")).select(F.lit("archived").alias("place"), F.col("day").cast("string").alias("day"), "n")
+    near = spark.read.parquet(new).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).select(F.lit("kept").alias("place"), "day", "n")
+    return far.unionByName(near)
