@@ -23,8 +23,8 @@ WIDE, WIDE_BITS = 16, 32
 SEEDS, STRIDE, PACKED = (1, 2), 20, 3
 _ONES = sum(1 << (STRIDE * i) for i in range(PACKED))
 _FULL = (1 << (STRIDE * PACKED)) - 1
-#: Where phrases end: at punctuation, and at a space after d, l, 4, 8 or a letter beyond ASCII.
-ENDS = "[.,;:!?|\\n\u3001\u3002\uff0c\uff01\uff1f]+\\s*|\\x20(?<=[dlDL48]\\x20|[^\\x00-\\x7f]\\x20)"
+#: Where phrases end: at punctuation, and at a space after d, e, l, o, 0, 4, 8 or a letter beyond ASCII, so that prose without punctuation has phrases of some three words.
+ENDS = "[.,;:!?|\\n\u3001\u3002\uff0c\uff01\uff1f]+\\s*|\\x20(?<=[deloDELO048]\\x20|[^\\x00-\\x7f]\\x20)"
 #: Rows that a bucket of neighbouring ids should hold, buckets at most (their bounds travel in the plan), sampled rows for each.
 ROWS_PER_BUCKET, MAX_BUCKETS, OVERSAMPLE = 2_000, 16_384, 20
 
