@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lodegraph.functions import names as N
 from lodegraph.operators.components import connected_components
 from lodegraph.operators.vectors import cosine
+from lodegraph.sources.tables import written
+
+#: Vectors of a bucket that one task compares with each other; more are compared in blocks.
+BUCKET = 2_000
 
 # fixed values: similarities from which an entity is the same, is merged, is linked as the same, is linked as similar
 EXACT, MERGE, SAME_AS, SIMILAR_TO = 0.98, 0.92, 0.85, 0.75
@@ -123,8 +127,13 @@ def near_pairs(vectors: DataFrame, least: float, bits: int, bands: int, ident: s
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (ident, *extra)] + [pa.array(keys[some].ravel())], names=[ident, *extra, "bucket"])
 
     rows = vectors.select(ident, *extra, vector).mapInArrow(signs, schema)
-    a, b = (rows.select(F.col(ident).alias(x), *[F.col(c).alias(f"g{x}") for c in extra], "bucket") for x in "ab")
-    pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & ((F.col("ga") != F.col("gb")) if group else F.lit(True))).select("a", "b").distinct()
+    # a bucket of many vectors is compared in blocks, each vector in as many pairs of blocks as there are blocks, so that no task has all of it
+    rows = written(rows)
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")))
+    rows = rows.join(sizes, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(ident), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "k"), "high": F.greatest("own", "k")})
+    a, b = (rows.select(F.col(ident).alias(x), *[F.col(c).alias(f"g{x}") for c in extra], "bucket", "low", "high") for x in "ab")
+    pairs = a.join(b, ["bucket", "low", "high"]).where((F.col("a") < F.col("b")) & ((F.col("ga") != F.col("gb")) if group else F.lit(True))).select("a", "b").distinct()
     va, vb = (vectors.select(F.col(ident).alias(x), F.col(vector).alias(f"v{x}")) for x in "ab")
     scored = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
     return scored.where(F.col("similarity") >= least)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.operators import fuzzy, mentions, retrieval, text_index, vector_index, vectors
+from lodegraph.operators import fuzzy, mentions, resolution, retrieval, text_index, vector_index, vectors
 from lodegraph.sources.tables import scratch_path
 
 
@@ -152,3 +152,10 @@ def test_suggestions_begin_with_what_was_typed(spark):
     names = spark.createDataFrame([(n,) for n in ("Alpha", "beta alp", "ALPINE", "x", None, *[f"zalp{i:03}" for i in range(300)])], "name string")
     got = retrieval.suggestions(names, spark.createDataFrame([("alp",), ("q",), ("",)], "prefix string"), 4).orderBy("place").collect()
     assert [r.name for r in got] == ["ALPINE", "Alpha", "beta alp", "zalp000"]
+
+
+def test_near_pairs_in_blocks_are_the_same(spark, clustered, monkeypatch):
+    some = clustered.where("vec_id < 600 AND embedding IS NOT NULL")
+    want = {(r.a, r.b) for r in resolution.near_pairs(some, 0.6, 3, 8, group="label").collect()}
+    monkeypatch.setattr(resolution, "BUCKET", 20)
+    assert {(r.a, r.b) for r in resolution.near_pairs(some, 0.6, 3, 8, group="label").collect()} == want and len(want) > 100
