@@ -3,21 +3,25 @@
 A value in a credential context (after words such as password or token, in an Authorization header, in a URL's user
 info) is segmented at minimum cost into dictionary words, dates, repeats, keyboard walks and brute-force spans, the
 cost being log10 of the guesses that an attacker needs. Values that would take too many guesses to be a placeholder or
-a plain word are reported as kind "guess" beside the spans of the fixed patterns, which always stay.
+a plain word are reported as kind "guess" beside the spans of the fixed patterns, which always stay. The dictionary is
+a short list of what attackers try first, and then the words of the documents by how often they occur.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodegraph.llm._spans import Span, found, joined, sha256
+from lodegraph.llm._text import text_slices
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as log10, from which a value counts as a secret.
@@ -30,15 +34,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # the runs [0-9a-f]+ of 32 char
 
 #: Wider credential contexts whose value the guess cost decides on; the value is the last group that took part.
 CONTEXTS = re.compile(
-    r"""(?:(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth)["']?\x20{0,4}(?::=|=>|[:=])\x20{0,4}(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;]{4,}))"""
+    r"""(?:(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth)["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;]{4,}))"""
     r"""|(?i:bearer|basic)\x20([A-Za-z0-9+/_.=~-]{8,})"""
-    r"""|[a-z][a-z0-9+]{1,10}://[^\s:/@]{1,64}:([^\s/@]{4,})@)""",
+    r"""|(?<=[a-z0-9+])://[^\s:/@]+:([^\s/@]{4,})@)""",
     re.ASCII,
 )
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "basic", "://")
 
-#: Words that attackers try first, most usual first; a parameter of `guess_cost`.
+#: Words that are read off the documents, most frequent first, after those of WORDS; of so few letters at least.
+DICTIONARY, LEAST_LETTERS = 20_000, 3
+#: Words that attackers try first, most usual first.
 WORDS = (
     "password", "secret", "admin", "token", "example", "changeme", "test", "qwerty", "letmein", "welcome", "default", "user", "root", "login",
     "master", "dragon", "monkey", "shadow", "sunshine", "princess", "football", "baseball", "superman", "batman", "iloveyou", "trustno", "hello",
@@ -59,8 +65,19 @@ def _alphabet(c: str) -> float:
     return 33.0 if c.isascii() else 100.0
 
 
+class Ranks:
+    """Words by rank, the first at 2."""
+
+    def __init__(self, words: Iterable[str]):
+        self.ranks = {w: r for r, w in enumerate(dict.fromkeys(words), 2)}
+        self.longest = max(map(len, self.ranks), default=0)
+
+
+_USUAL = Ranks(WORDS)
+
+
 @lru_cache(maxsize=4096)
-def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
+def guess_cost(value: str, words: Ranks = _USUAL) -> float:
     """log10 of the guesses of the cheapest segmentation of the whole value; empty values cost 0.
 
     best[i] is the least cost of the first i characters. A segment is a dictionary word (its rank, doubled for case and
@@ -69,8 +86,8 @@ def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
     """
     head, n = value, len(value)
     lower = "".join(low if len(low := c.lower()) == 1 else c for c in head)
-    plain, ranks, split = lower.translate(_LEET), {w: r for r, w in enumerate(words, 2)}, math.log10(2)
-    longest = max(map(len, words), default=0)
+    plain, ranks, split = lower.translate(_LEET), words.ranks, math.log10(2)
+    longest = words.longest
     brute = [0.0]
     for c in head:
         brute.append(brute[-1] + math.log10(_alphabet(c)))
@@ -151,7 +168,7 @@ def base_spans(text: str) -> list[Span]:
     return spans + found(text, "hex", HEX, lambda m: True)
 
 
-def added_spans(text: str, base: list[Span]) -> list[tuple[int, int, str, float]]:
+def added_spans(text: str, base: list[Span], words: Ranks = _USUAL) -> list[tuple[int, int, str, float]]:
     """Credential-context values that the guess cost calls secrets, unless a base span already overlaps them."""
     lower, spans = text.lower(), []
     if not any(h in lower for h in _HINTS):
@@ -163,23 +180,45 @@ def added_spans(text: str, base: list[Span]) -> list[tuple[int, int, str, float]
         end = start + len(value)
         if any(s < end and start < e for s, e, _ in base):
             continue
-        if (cost := guess_cost(value)) >= LEAST_LOG10_GUESSES:
+        if (cost := guess_cost(value, words)) >= LEAST_LOG10_GUESSES:
             spans.append((start, end, "guess", cost))
     return spans
 
 
-def scan(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, secrets: array of start, end, kind, value, log10 guesses), one row a document; null texts have none."""
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words of letters a to z of a batch, case aside, counted."""
+    for batch in batches:
+        for low, high, _, _ in text_slices(batch.column(0), 4 << 20):
+            lower = pc.ascii_lower(pc.fill_null(batch.column(0).slice(low, high - low).cast(pa.large_string()), ""))
+            words = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, "[^a-z]+", " ")).flatten()
+            words = words.filter(pc.greater_equal(pc.binary_length(words), LEAST_LETTERS)).cast(pa.string())
+            counts = words.value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "n"])
+
+
+def words_of(docs: DataFrame, text: str, most: int = DICTIONARY) -> list[str]:
+    """The most frequent words of all texts, ties by the word: at most `most` come to the driver."""
+    counts = docs.select(text).mapInArrow(_tallied, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def scan(docs: DataFrame, ident: str, text: str, words: Iterable[str] = WORDS) -> DataFrame:
+    """(ident, secrets: array of start, end, kind, value, log10 guesses), one row a document; null texts have none.
+
+    words are what a value may be made of cheaply, most usual first.
+    """
+    listed = tuple(words)
     schema = docs.select(ident).schema.simpleString()[7:-1] + ", secrets array<struct<start:int,end:int,kind:string,value:string,cost:double>>"
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Ranks(listed)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("cost", pa.float64())]))
         for batch in batches:
             rows = []
             for value in batch.column(text):
                 whole = value.as_py() or ""
                 base = base_spans(whole)
-                every = [(*s, guess_cost(ASSIGN.match(whole, s[0]).group(2) if s[2] == "assign" else whole[s[0] : s[1]])) for s in base] + added_spans(whole, base)
+                every = [(*s, guess_cost(ASSIGN.match(whole, s[0]).group(2) if s[2] == "assign" else whole[s[0] : s[1]], ranks)) for s in base] + added_spans(whole, base, ranks)
                 rows.append([{"start": a, "end": b, "kind": k, "value": whole[a:b], "cost": c} for a, b, k, c in sorted(every)])
             yield pa.RecordBatch.from_arrays([batch.column(ident), pa.array(rows, type=kind)], names=[ident, "secrets"])
 
@@ -194,7 +233,8 @@ def op10_secrets(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame
     rows; further columns are ignored. log10_guesses has the cost of each of spans, joined likewise.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
-    return digests(scan(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), "doc_id", "text"), "secrets", KINDS[:3], KINDS, ("cost", "log10_guesses"))
+    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
+    return digests(scan(docs, "doc_id", "text", [*WORDS, *words_of(docs, "text")]), "secrets", KINDS[:3], KINDS, ("cost", "log10_guesses"))
 
 
 def digests(found_spans: DataFrame, column: str, base: tuple[str, ...], kinds: tuple[str, ...], value: tuple[str, str], flag: str | None = None) -> DataFrame:
