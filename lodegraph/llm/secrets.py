@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm._spans import Span, found, joined, sha256
 from lodegraph.llm._text import text_slices
+from lodegraph.sources.tables import written
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as log10, from which a value counts as a secret.
@@ -197,9 +198,20 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def words_of(docs: DataFrame, text: str, most: int = DICTIONARY) -> list[str]:
-    """The most frequent words of all texts, ties by the word: at most `most` come to the driver."""
-    counts = docs.select(text).mapInArrow(_tallied, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The most frequent words of all texts, most frequent first, ties by the word: as many as `most` at most.
+
+    Words are taken by bands of their counts, a sixteenth of a doubling each, as long as whole bands fit, so that only
+    the sizes of bands and the words taken come to the driver.
+    """
+    band = F.floor(F.log2("n") * 16).cast("int")
+    counts = written(docs.select(text).mapInArrow(_tallied, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("band", band))
+    taken, least = 0, None
+    for r in sorted(counts.groupBy("band").count().collect(), key=lambda r: -r.band):  # some 1,000 bands
+        if taken + r["count"] > most:
+            break
+        taken, least = taken + r["count"], r.band
+    found = [] if least is None else counts.where(F.col("band") >= least).collect()
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
 
 
 def scan(docs: DataFrame, ident: str, text: str, words: Iterable[str] = WORDS) -> DataFrame:
