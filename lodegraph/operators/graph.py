@@ -186,7 +186,7 @@ def bridges(scores: DataFrame, n: int, threshold: float = 0.1) -> DataFrame:
     return scores.select("id", (F.col("score") / F.lit(float(pairs))).alias("score")).where(F.col("score") >= threshold)
 
 
-def induced(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def part(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The vertices among ids (id), and the edges between two of them, for communities of a part of a graph."""
     kept = vertices.join(ids.select("id").distinct(), "id", "left_semi")
     names = kept.select("id")

@@ -115,7 +115,7 @@ def test_samples_bridges_and_parts_of_graphs(spark):
     assert {r.id for r in graph.bridges(exact, 7, 0.3).collect()} == {"c", "d"}
     some = graph.sampled(v, 4)
     assert some.count() == 4 and sorted(r.id for r in some.collect()) == sorted(r.id for r in graph.sampled(v, 4).collect()) and graph.sampled(v, 99).count() == 7
-    kept, links = graph.induced(v, e, spark.createDataFrame([("d",), ("e",), ("f",), ("a",), ("q",)], "id string"))
+    kept, links = graph.part(v, e, spark.createDataFrame([("d",), ("e",), ("f",), ("a",), ("q",)], "id string"))
     assert sorted(r.id for r in kept.collect()) == ["a", "d", "e", "f"] and links.count() == 3
     found = {r.id: r.community for r in communities.louvain(kept, links).collect()}
     assert found == {"a": "a", "d": "d", "e": "d", "f": "d"}
