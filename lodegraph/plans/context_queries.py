@@ -41,18 +41,16 @@ def graph_contexts(spark, sf_dir):
 
 
 # lines are relations of an order: extracted ones lack small quantities and are turned round or of another type at times
-_LINES = """l AS (SELECT DISTINCT l_orderkey % 300 AS item, 'Part ' || l_partkey AS p, 'Firm ' || l_suppkey AS s, l_returnflag AS type FROM lineitem), t AS (SELECT item, p AS src, s AS dst, type, row_number() OVER (ORDER BY item, p, s, type) AS j FROM l),
+_LINES = """l AS (SELECT DISTINCT l_orderkey AS item, 'Part ' || l_partkey AS p, 'Firm ' || l_suppkey AS s, l_returnflag AS type FROM lineitem), t AS (SELECT item, p AS src, s AS dst, type, item * 1000 + row_number() OVER (PARTITION BY item ORDER BY p, s, type) AS j FROM l),
 x AS (SELECT item, CASE WHEN j % 5 = 0 THEN dst ELSE src END AS src, CASE WHEN j % 5 = 0 THEN src ELSE dst END AS dst, CASE WHEN j % 7 = 0 THEN 'Z' ELSE type END AS type, j AS i, j % 5 = 0 AS turned FROM t WHERE j % 3 > 0)"""
 
 
 def _relations(spark, sf_dir):
     from pyspark.sql import Window
 
-    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 300).alias("item"), F.concat(F.lit("Part "), "l_partkey").alias("p"), F.concat(F.lit("Firm "), "l_suppkey").alias("s"), F.col("l_returnflag").alias("type")).distinct()
-    # numbered inside an item, after the items before it
-    counts = l.groupBy("item").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("item")) - F.col("n"))
-    j = F.row_number().over(Window.partitionBy("item").orderBy("p", "s", "type")) + F.col("before")
-    t = l.join(counts, "item").select("item", F.col("p").alias("src"), F.col("s").alias("dst"), "type", j.alias("j"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.concat(F.lit("Part "), "l_partkey").alias("p"), F.concat(F.lit("Firm "), "l_suppkey").alias("s"), F.col("l_returnflag").alias("type")).distinct()
+    j = F.col("item") * 1000 + F.row_number().over(Window.partitionBy("item").orderBy("p", "s", "type"))
+    t = l.select("item", F.col("p").alias("src"), F.col("s").alias("dst"), "type", j.alias("j"))
     turned = F.col("j") % 5 == 0
     x = t.where(F.col("j") % 3 > 0).select("item", F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), F.when(F.col("j") % 7 == 0, "Z").otherwise(F.col("type")).alias("type"), F.col("j").alias("i"))
     return x, t
