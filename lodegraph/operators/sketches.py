@@ -7,7 +7,9 @@ confidence, and exact where a window has at most k values or so, as nothing is c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The sketches' size: values that a level keeps.
@@ -37,21 +39,28 @@ def sliding(buckets: DataFrame, key: str, seconds: int, window: int, shares: tup
     return merged.select(key, "ends", "n", "breaches", (F.col("breaches") / F.col("n")).alias("breach_rate"), *named)
 
 
-def sliding_exact(rows: DataFrame, key: str, ts: str, value: str, seconds: int, window: int, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """(key, ends, n, p50, p95, ...) by nearest rank over the values themselves: each value in every window that it is in.
+def counted(rows: DataFrame, key: str, ts: str, value: str, seconds: int) -> DataFrame:
+    """(key, bucket, v, c): how often each value comes in each bucket; null values and times are left out, equal values combined before the shuffle."""
+    at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000 / seconds).cast("long") * seconds
+    kept = rows.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    return kept.groupBy(key, at.alias("bucket"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+
 
-    Equal values are counted before the shuffle. The second path, for keys that need no error.
+def sliding_counted(counts: DataFrame, key: str, seconds: int, window: int, shares: tuple[float, ...] = (0.5, 0.95, 0.99), budget: float = float("inf")) -> DataFrame:
+    """(key, ends, n, breaches, breach_rate, p50, p95, ...) by nearest rank: every window of so many buckets that holds a value, of rows as counted has them.
+
+    The values of a window are sorted and added up by a window function, which spills, so none is gathered in one row.
+    Ranks are decimals: no share is rounded.
     """
-    at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000 / seconds).cast("long") * seconds
-    kept = rows.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).groupBy(key, at.alias("bucket"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    spread = kept.select(key, F.explode(F.sequence(F.col("bucket") + seconds, F.col("bucket") + window * seconds, F.lit(seconds))).alias("ends"), "v", "c")
-    listed = spread.groupBy(key, "ends", "v").agg(F.sum("c").alias("c")).groupBy(key, "ends").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("l"), F.sum("c").alias("n"))
-
-    def at_rank(p: float) -> Column:
-        """The first value by which as many are counted as the rank asks."""
-        rank = F.ceil(F.col("n") * F.lit(p))
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-        found = F.aggregate("l", start, lambda s, x: F.when(s.seen >= rank, s).otherwise(F.struct((s.seen + x.c).alias("seen"), x.v.alias("v"))))
-        return found.v
-
-    return listed.select(key, "ends", "n", *[at_rank(p).alias(f"p{p * 100:g}".replace(".", "_")) for p in shares])
+    spread = counts.select(key, F.explode(F.sequence(F.col("bucket") + seconds, F.col("bucket") + window * seconds, F.lit(seconds))).alias("ends"), "v", "c")
+    own = Window.partitionBy(key, "ends")
+    seen = spread.groupBy(key, "ends", "v").agg(F.sum("c").alias("c"))
+    seen = seen.withColumn("n", F.sum("c").over(own)).withColumn("seen", F.sum("c").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    at_rank = [F.min(F.when(F.col("seen") >= F.ceil(F.col("n") * F.lit(Decimal(str(p)))), F.col("v"))).alias(f"p{p * 100:g}".replace(".", "_")) for p in shares]
+    found = seen.groupBy(key, "ends").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v") > budget, F.col("c")).otherwise(0)).alias("breaches"), *at_rank)
+    return found.withColumn("breach_rate", F.col("breaches") / F.col("n"))
+
+
+def sliding_exact(rows: DataFrame, key: str, ts: str, value: str, seconds: int, window: int, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(key, ends, n, p50, p95, ...) by nearest rank over the values themselves: the path for keys that need no error."""
+    return sliding_counted(counted(rows, key, ts, value, seconds), key, seconds, window, shares).drop("breaches", "breach_rate")
