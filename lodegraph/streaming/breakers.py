@@ -60,10 +60,10 @@ class _Breakers(StatefulProcessor):
 def breakers(spark: SparkSession, path: str, service: str, ts: str, failed: Column, order: str, rule: Rule = Rule(), late: str = "1 hour") -> DataFrame:
     """The columns of breaker.replayed, kept up by a stream of the calls at path and told as of the last call of all.
 
-    Calls of a micro-batch are taken in order; the stream's files have to be in order of time. Needs the RocksDB state
-    store, which is set for this stream alone.
+    Calls of a micro-batch are taken in order; what is there at the start is one micro-batch, so that its files may be in
+    any order of time. Needs the RocksDB state store, which is set for this stream alone.
     """
-    rows = prepared(_stream(spark, path), service, ts, failed, order).withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
+    rows = prepared(_stream(spark, path, None), service, ts, failed, order).withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
     held = rows.groupBy("service").transformWithState(_Breakers(rule), _OUT, "Update", "EventTime")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
@@ -78,5 +78,6 @@ def breakers(spark: SparkSession, path: str, service: str, ts: str, failed: Colu
     last = final.agg(F.max("seen").alias("last"))
     due = F.col("since") + F.lit(rule.reset)
     over = (F.col("state") == OPEN) & (due <= F.col("last"))
-    told = final.join(F.broadcast(last)).withColumn("since", F.when(over, due).otherwise(F.col("since"))).withColumn("state", F.when(over, HALF_OPEN).otherwise(F.col("state")))
+    turned = {"since": F.when(over, due).otherwise(F.col("since")), "state": F.when(over, HALF_OPEN).otherwise(F.col("state"))}
+    told = final.join(F.broadcast(last)).withColumns(turned)  # both at once, as each asks for the other's old value
     return _with_time(told.select("service", "state", "since", "calls", "failures", "rejected", "opened"))

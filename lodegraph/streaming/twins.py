@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from lodegraph.sources.tables import shared_folder
 
 
-def _stream(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a parquet table as a stream, 16 files a micro-batch; of a table that is one file, its folder is read and others passed over."""
+def _stream(spark: SparkSession, path: str, at_once: int | None = 16) -> DataFrame:
+    """The files of a parquet table as a stream, at_once files a micro-batch; of a table that is one file, its folder is read and others passed over.
+
+    at_once None takes all that is there as one batch: for states that follow from the order of rows, as the files of a
+    table come in no order.
+    """
     schema = spark.read.parquet(path).schema
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+        rows = spark.readStream.schema(schema)
+        return (rows.option("maxFilesPerTrigger", at_once) if at_once else rows).parquet(path)
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
