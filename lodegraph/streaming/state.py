@@ -43,25 +43,32 @@ def sync_sessions(spark: SparkSession, path: str, key: str, failed_above: float)
 
 
 def deletions(spark: SparkSession, path: str, key: str, kind: str, mark: str, recover: str, grace: int) -> DataFrame:
-    """(key, state, since) as rules.deletions has it, kept up by a stream: pending since when, or deleted when."""
+    """(key, state, since) as rules.deletions has it, kept up by a stream: pending since when, or deleted when.
+
+    What is there at the start is one micro-batch, so that its files may be in any order of time; a key's marks and
+    recoveries of a batch are sorted together.
+    """
     out = f"{key} long, pending long, gone long, seen long, _part long"
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, gone, seen, part = state.get if state.exists else (-1, -1, -1, 0)
+        steps: list[tuple[int, bool]] = []
         for rows in batches:
-            part += 1
-            for t, what in sorted(zip(rows["t"].tolist(), rows[kind].tolist(), strict=True), key=lambda r: (r[0], r[1] == mark)):
-                seen = max(seen, t)
-                if gone < 0 <= pending and t > pending + grace * 1_000_000:
-                    gone = pending + grace * 1_000_000
-                if gone < 0 and what == mark and pending < 0:
-                    pending = t
-                elif gone < 0 and what == recover:
-                    pending = -1
+            seen = max([seen, *rows["t"].tolist()])
+            kept = rows[rows[kind].isin([mark, recover])]
+            steps.extend(zip(kept["t"].tolist(), (kept[kind] == mark).tolist(), strict=True))
+        part += 1
+        for t, marked in sorted(steps):
+            if gone < 0 <= pending and t > pending + grace * 1_000_000:
+                gone = pending + grace * 1_000_000
+            if gone < 0 and marked and pending < 0:
+                pending = t
+            elif gone < 0 and not marked:
+                pending = -1
         state.update((pending, gone, seen, part))
         yield pd.DataFrame({key: [int(name[0])], "pending": [pending], "gone": [gone], "seen": [seen], "_part": [part]})
 
-    rows = _stream(spark, path).select(key, kind, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rows = _stream(spark, path, None).select(key, kind, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     held = rows.groupBy(key).applyInPandasWithState(update, out, "pending long, gone long, seen long, part long", "update", GroupStateTimeout.NoTimeout)
     final = _latest(spark, drained(spark, held, "update"), key)
     last = final.agg(F.max("seen").alias("last"))
