@@ -18,28 +18,24 @@ def _latest(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_batch"), F.desc("_part")))).where("_k = 1").drop("_k", "_batch", "_part")
 
 
-def sync_sessions(spark: SparkSession, path: str, key: str, failed_above: float) -> DataFrame:
+def sync_sessions(spark: SparkSession, path: str, key: str, failed_above: float, block: int = 4_096) -> DataFrame:
     """(key, processed, failed, checkpoint, mean_value, changes): each connector's session after a stream of its rows.
 
-    State is a few numbers a key: counters, the last row seen, the running mean, and how often a session turned from good to bad or back.
+    changes is how often a session turned from good to bad or back by event_id. Rows come in no order, so the state is
+    kept for each block of event ids: counters and, as a list of no more than its ids, which of them were bad. Turns are
+    counted inside blocks first and between them at the end, so no task holds a connector.
     """
-    out = f"{key} string, processed long, failed long, checkpoint long, mean_value double, changes long, _part long"
-
-    def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        processed, failed, checkpoint, total, changes, bad, part = state.get if state.exists else (0, 0, -1, 0.0, 0, False, 0)
-        for rows in batches:
-            rows = rows.sort_values("event_id")
-            wrong = rows["value"] > failed_above
-            turns = wrong.astype(int).diff().abs().fillna(abs(int(wrong.iloc[0]) - int(bad))) if len(rows) else wrong
-            processed, failed, changes, part = processed + len(rows), failed + int(wrong.sum()), changes + int(turns.sum()), part + 1
-            total, checkpoint = total + float(rows["value"].sum()), max(checkpoint, int(rows["event_id"].max()))
-            bad = bool(wrong.iloc[-1])
-        state.update((processed, failed, checkpoint, total, changes, bad, part))
-        yield pd.DataFrame({key: [name[0]], "processed": [processed], "failed": [failed], "checkpoint": [checkpoint], "mean_value": [total / max(1, processed)], "changes": [changes], "_part": [part]})
-
-    rows = _stream(spark, path).select(key, "event_id", "value")
-    held = rows.groupBy(key).applyInPandasWithState(update, out, "processed long, failed long, checkpoint long, total double, changes long, bad boolean, part long", "update", GroupStateTimeout.NoTimeout)
-    return _latest(spark, drained(spark, held, "update"), key)
+    bad = F.coalesce(F.col("value") > failed_above, F.lit(False))
+    rows = _stream(spark, path).select(key, "event_id", "value", bad.alias("bad"), F.floor(F.col("event_id") / block).cast("long").alias("block"))
+    held = rows.groupBy(key, "block").agg(
+        F.count("*").alias("processed"), F.count_if("bad").alias("failed"), F.max("event_id").alias("checkpoint"), F.sum("value").alias("total"), F.count("value").alias("valued"), F.collect_list(F.struct("event_id", "bad")).alias("seen")
+    )
+    blocks = spark.read.parquet(drained(spark, held, "complete")).withColumn("seen", F.transform(F.array_sort("seen"), lambda r: r["bad"].cast("int")))
+    inside = F.aggregate("seen", F.struct(F.lit(0).cast("long").alias("turns"), F.get("seen", F.lit(0)).alias("last")), lambda s, b: F.struct((s["turns"] + F.abs(b - s["last"])).alias("turns"), b.alias("last")))
+    blocks = blocks.select(key, "block", "processed", "failed", "checkpoint", "total", "valued", F.get("seen", F.lit(0)).alias("first"), inside.alias("run"))
+    before = F.coalesce(F.lag("run.last").over(Window.partitionBy(key).orderBy("block")), F.lit(0))  # a row a block
+    sums = blocks.withColumn("turns", F.col("run.turns") + F.abs(F.col("first") - before)).groupBy(key)
+    return sums.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.max("checkpoint").alias("checkpoint"), (F.sum("total") / F.sum("valued")).alias("mean_value"), F.sum("turns").alias("changes"))
 
 
 def deletions(spark: SparkSession, path: str, key: str, kind: str, mark: str, recover: str, grace: int) -> DataFrame:

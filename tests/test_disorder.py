@@ -25,7 +25,7 @@ def disordered(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["sliding_percentiles", "streamed_percentiles", "streamed_breakers", "streamed_deletions"])
+@pytest.mark.parametrize("name", ["sliding_percentiles", "streamed_percentiles", "streamed_breakers", "streamed_deletions", "sync_sessions"])
 def test_rows_in_no_order(spark, disordered, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{disordered}/events.parquet/*.parquet'")
