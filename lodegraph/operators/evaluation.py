@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,17 +40,70 @@ def greedy_matching(candidates: DataFrame, group: str = "group") -> DataFrame:
     other pair of either, so all such pairs are taken at once, and again from what is left.
     """
     left = written(candidates.select(group, "i", "j", "similarity"))
-    found = None
+    # a pair that is the only one of both its ends needs no rounds, which are for the few that compete
+    alone = left.withColumn("_a", F.count("*").over(Window.partitionBy(group, "i"))).withColumn("_b", F.count("*").over(Window.partitionBy(group, "j")))
+    alone = written(alone.withColumn("_alone", (F.col("_a") == 1) & (F.col("_b") == 1)).drop("_a", "_b"))
+    found, left = alone.where("_alone").drop("_alone"), alone.where("NOT _alone").drop("_alone")
     order = (F.desc("similarity"), "i", "j")
     while True:
         ranked = left.withColumn("_a", F.row_number().over(Window.partitionBy(group, "i").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy(group, "j").orderBy(*order)))
         taken = written(ranked.where("_a = 1 AND _b = 1").select(group, "i", "j", "similarity"))
-        found = taken if found is None else found.unionByName(taken)
+        found = found.unionByName(taken)
         if not taken.take(1):
             return found
         left = written(left.join(taken.select(group, "i"), [group, "i"], "left_anti").join(taken.select(group, "j"), [group, "j"], "left_anti"))
 
 
+def named_matching(extracted: DataFrame, truth: DataFrame, alike: Column, least: float) -> DataFrame:
+    """(group, i, j, similarity): greedy_matching of all pairs of a group that are at least least alike, for names that many share.
+
+    extracted: group, i, name; truth: group, j, true_name; alike is 1 for equal names alone. Equal names come first, and
+    in order of i and j the k-th of either side meet; of what that leaves over of one side names are compared, each once,
+    and a group's rows are folded by one task, as each pair depends on those before. i and j are of one type.
+    """
+    place = lambda name, by: F.row_number().over(Window.partitionBy("group", name).orderBy(by))
+    a = written(extracted.select("group", "i", "name").withColumn("k", place("name", "i")))
+    b = written(truth.select("group", "j", "true_name").withColumn("k", place("true_name", "j")))
+    many = lambda rows, name, n: rows.groupBy("group", F.col(name).alias("name")).agg(F.max("k").alias(n))
+    equal = a.join(b.withColumnRenamed("true_name", "name"), ["group", "name", "k"]).select("group", "i", "j", F.lit(1.0).alias("similarity"))
+    rest_a = a.join(many(b, "true_name", "n"), ["group", "name"], "left").where("n IS NULL OR k > n").select("group", "i", "name")
+    rest_b = written(b.withColumnRenamed("true_name", "name").join(many(a, "name", "n"), ["group", "name"], "left").where("n IS NULL OR k > n").select("group", "j", F.col("name").alias("true_name")))
+    pairs = rest_a.select("group", "name").distinct().join(rest_b.select("group", "true_name").distinct(), "group").withColumn("similarity", alike).where(F.col("similarity") >= least)
+    kind = lambda rows, c: dict(rows.dtypes)[c]
+    ends = rest_a.select("group", F.col("i").alias("id"), "name", F.lit(True).alias("mine")).unionByName(rest_b.select("group", F.col("j").alias("id"), F.col("true_name").alias("name"), F.lit(False).alias("mine")))
+    few = written(pairs)
+    ends = ends.join(few.select("group", "name", F.lit(True).alias("mine")).union(few.select("group", "true_name", F.lit(False))).distinct(), ["group", "name", "mine"], "left_semi")
+    schema = f"group {kind(extracted, 'group')}, i {kind(extracted, 'i')}, j {kind(truth, 'j')}, similarity double"
+    return equal.unionByName(ends.groupBy("group").cogroup(few.groupBy("group")).applyInArrow(_greedy_by_name, schema))
+
+
+def _greedy_by_name(ends: pa.Table, pairs: pa.Table) -> pa.Table:
+    """A group's greedy matching of ids by name: from the most alike names on, each i in order takes the least j left of them."""
+    free: dict[str, deque[int]] = {}
+    mine: list[tuple[int, str]] = []
+    for own, name, left in sorted(zip(*(ends.column(c).to_pylist() for c in ("id", "name", "mine")), strict=True)):
+        if left:
+            mine.append((own, name))
+        else:
+            free.setdefault(name, deque()).append(own)
+    levels: dict[float, dict[str, list[str]]] = {}
+    for name, other, alike in zip(*(pairs.column(c).to_pylist() for c in ("name", "true_name", "similarity")), strict=True):
+        levels.setdefault(alike, {}).setdefault(name, []).append(other)
+    taken: list[tuple[int, int, float]] = []
+    for alike in sorted(levels, reverse=True):
+        near, rest = levels[alike], []
+        for own, name in mine:
+            near[name] = [x for x in near.get(name, ()) if free.get(x)]
+            if near[name]:
+                taken.append((own, free[min(near[name], key=lambda x: free[x][0])].popleft(), alike))
+            else:
+                rest.append((own, name))
+        mine = rest
+    i, j, alike = zip(*taken, strict=True) if taken else ((), (), ())
+    group = pa.array([(ends if len(ends) else pairs).column("group")[0].as_py()] * len(taken), ends.schema.field("group").type)
+    return pa.table({"group": group, "i": pa.array(i, ends.schema.field("id").type), "j": pa.array(j, ends.schema.field("id").type), "similarity": pa.array(alike, pa.float64())})
+
+
 def extraction_scores(extracted: DataFrame, truth: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
     """(by, tp, fp, fn, precision, recall, f1) of matches among extracted and true rows, counted by the columns of by."""
     count = lambda rows, name: rows.groupBy(*by).agg(F.count("*").alias(name))

@@ -208,8 +208,8 @@ def extraction_scores(spark, sf_dir):
     digits = lambda c: F.concat(F.lit("Unit "), F.substring(c, -3, 3))
     x = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group"), F.col("c_custkey").alias("i"), digits("c_name").alias("name"))
     t = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("j"), digits("s_name").alias("true_name"))
-    ok, alike = E.entities_match("partial", F.col("name"), F.lit("t"), F.col("true_name"), F.lit("t"), 0.75)
-    matched = E.greedy_matching(x.join(t, "group").where(ok).select("group", "i", "j", alike.alias("similarity")))
+    _, alike = E.entities_match("partial", F.col("name"), F.lit("t"), F.col("true_name"), F.lit("t"), 0.75)
+    matched = E.named_matching(x, t, alike, 0.75)
     s = E.extraction_scores(x, t, matched, ["group"])
     return s.select("group", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 

@@ -82,6 +82,33 @@ def test_greedy_matching_against_a_plain_version(spark):
     assert E.greedy_matching(spark.createDataFrame([], "group int, i int, j int, similarity double")).count() == 0
 
 
+def test_named_matching_is_greedy_matching_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    name = lambda: f"Unit {rng.integers(100, 130)}"
+    a = spark.createDataFrame([(int(rng.integers(0, 3)), i, name()) for i in range(150)], "group int, i long, name string")
+    b = spark.createDataFrame([(int(rng.integers(0, 4)), 1000 + j, name()) for j in range(120)], "group int, j long, true_name string")
+    ok, alike = E.entities_match("partial", F.col("name"), F.lit("t"), F.col("true_name"), F.lit("t"), 0.75)
+    want = E.greedy_matching(a.join(b, "group").where(ok).select("group", "i", "j", alike.alias("similarity")))
+    got = E.named_matching(a, b, alike, 0.75)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert E.named_matching(a.limit(0), b, alike, 0.75).count() == 0
+
+
+def test_matching_takes_equal_names_in_few_rounds(spark, monkeypatch):
+    seen, keep = [], E.written
+    monkeypatch.setattr(E, "written", lambda rows: seen.append(1) or keep(rows))
+    a = spark.range(300).selectExpr("1 as group", "id as i", "'Unit 7' as name")
+    b = spark.range(300).selectExpr("1 as group", "id as j", "'Unit 7' as true_name")
+    _, alike = E.entities_match("partial", F.col("name"), F.lit("t"), F.col("true_name"), F.lit("t"), 0.75)
+    assert E.named_matching(a, b, alike, 0.75).where("i = j").count() == 300 and len(seen) < 10
+
+
+def test_bare_names(spark):
+    told = {"The Big  Corp": "big corp", "a b": "b", "theory x_1": "theory x_1", " Part 7 ": "part 7", "x\n": "x", "A-B c": "ab c", "the the x": "the x", "": "", "the": "the", "Ä x": "x"}
+    rows = spark.createDataFrame(list(told.items()) + [(None, None)], "name string, bare string").withColumn("got", N.bare_name(F.col("name")))
+    assert rows.where("NOT (bare <=> got)").collect() == []
+
+
 def test_entities_relations_and_responses(spark):
     row = spark.range(1).select(
         E.entities_match("strict", F.lit("The Big Corp"), F.lit("t"), F.lit("big corp"), F.lit("t"))[0].alias("strict"), E.entities_match("partial", F.lit("Big Corp"), F.lit("t"), F.lit("Big Corpo"), F.lit("t"))[0].alias("partial"),
