@@ -152,3 +152,12 @@ def test_listing_of_files(spark, tmp_path):
     got = C.listing(spark, str(tmp_path), ("pdf", ".txt"), 40, ("/skip/",)).collect()
     assert [(r.name, r.extension, r.media, r.bytes) for r in got] == [("x.PDF", "pdf", "application/pdf", 3)]
     assert C.listing(spark, str(tmp_path)).count() == 4
+
+
+def test_edges_by_name_are_merged_before_they_fan_out(spark):
+    named = spark.range(40).selectExpr("'O1' as from", "'top' as to", "'uses' as type", "(id % 7) / 10.0D as confidence")
+    entities = spark.range(50).selectExpr("id", "IF(id = 0, 'Top', 'o1') as name")
+    got = R.edges_by_name(named, entities)
+    assert {(r.src, r.dst, round(r.confidence, 6)) for r in got.collect()} == {(i, 0, 0.6) for i in range(1, 50)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Join")
