@@ -10,6 +10,7 @@ from lodegraph.functions import names as N
 from lodegraph.operators import chunking as K
 from lodegraph.operators import connectors as C
 from lodegraph.operators import evaluation as E
+from lodegraph.operators import metrics as M
 from lodegraph.operators import resolution as R
 from lodegraph.operators import vectors as V
 
@@ -161,3 +162,19 @@ def test_edges_by_name_are_merged_before_they_fan_out(spark):
     assert {(r.src, r.dst, round(r.confidence, 6)) for r in got.collect()} == {(i, 0, 0.6) for i in range(1, 50)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate") > plan.index("Join")
+
+
+def test_nearest_over_many_blocks_and_metrics_by_label(spark):
+    rng = np.random.default_rng(5)
+    n = V.ITEM_BLOCK * 2 + 77
+    every = rng.integers(-2, 3, (n, 6)).astype(float)  # many ties, and vectors of no length
+    rows = spark.createDataFrame([(i, every[i].tolist(), int(i % 4) if i % 9 else None) for i in range(n)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    size = np.linalg.norm(every, axis=1, keepdims=True)
+    unit = every / np.where(size > 0, size, 1)
+    got = V.nearest(rows, rows.where("vec_id % 50 = 0"), 7)
+    best = np.sort(np.delete(unit @ unit[50], 50))[::-1][:7]
+    assert np.allclose([r.score for r in got.where("query = 50").orderBy("position").collect()], best)
+    items = rows.select(F.col("vec_id").alias("item"), "label")
+    judged = items.withColumnRenamed("item", "query").join(items, "label").where("query <> item").select("query", "item")
+    got.cache()
+    assert sorted(map(tuple, M.at_k_by_label(got, items, 5).collect())) == sorted(map(tuple, M.at_k(got, judged, 5).collect()))
