@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions import names as N
 from lodegraph.operators.evaluation import greedy_matching
 from lodegraph.operators.metrics import safe_ratio
+from lodegraph.sources.tables import written
 
 #: The ways of matching.
 MODES = ("strict", "partial", "direction_agnostic", "type_only")
@@ -16,18 +17,27 @@ ALIKE, SOME = 0.85, 0.3
 
 
 def _alike(a: Column, b: Column) -> Column:
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), N.similarity(N.bare_name(a), N.bare_name(b))).otherwise(0.0)
+    """Of two structs (bare, some): a name without what doesn't count, and whether it has a letter at all."""
+    return F.when(a["some"] & b["some"], N.similarity(a["bare"], b["bare"])).otherwise(0.0)
+
+
+def _name(of: Column) -> Column:
+    return F.struct(N.bare_name(of).alias("bare"), (F.length(of) > 0).alias("some"))
 
 
 def compared(mode: str, src: Column, dst: Column, true_src: Column, true_dst: Column, threshold: float = ALIKE) -> tuple[Column, Column, Column]:
     """(whether two relations of one type match, similarity, whether the direction is right)."""
+    return _compared(mode, *map(_name, (src, dst, true_src, true_dst)), threshold)
+
+
+def _compared(mode: str, src: Column, dst: Column, true_src: Column, true_dst: Column, threshold: float) -> tuple[Column, Column, Column]:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     ahead, back = (_alike(src, true_src), _alike(dst, true_dst)), (_alike(src, true_dst), _alike(dst, true_src))
     forward, reverse = (ahead[0] + ahead[1]) / 2, (back[0] + back[1]) / 2
     fits = (ahead[0] >= threshold) & (ahead[1] >= threshold)
     if mode == "strict":
-        return (N.bare_name(src) == N.bare_name(true_src)) & (N.bare_name(dst) == N.bare_name(true_dst)), forward, F.lit(True)
+        return (src["bare"] == true_src["bare"]) & (dst["bare"] == true_dst["bare"]), forward, F.lit(True)
     if mode == "partial":
         return fits, forward, F.lit(True)
     best = F.greatest(forward, reverse)
@@ -40,12 +50,12 @@ def matches(extracted: DataFrame, truth: DataFrame, mode: str = "strict", thresh
     """(item, i, j, type, similarity, direction): relations of an item matched one to one, most alike first, ties by i and j.
 
     extracted: item, i, src, dst, type; truth: item, j, src, dst, type. Types have to agree, so only relations of one
-    item and type are compared.
+    item and type are compared. Names are made bare once a relation, not once a pair; the pairs are found once, written.
     """
-    a = extracted.select("item", "type", "i", "src", "dst")
-    b = truth.select("item", "type", "j", F.col("src").alias("true_src"), F.col("dst").alias("true_dst"))
-    ok, alike, direction = compared(mode, F.col("src"), F.col("dst"), F.col("true_src"), F.col("true_dst"), threshold)
-    found = a.join(b, ["item", "type"]).where(ok).select("item", "i", "j", "type", F.round(alike, 9).alias("similarity"), direction.alias("direction"))
+    a = extracted.select("item", "type", "i", _name(F.col("src")).alias("src"), _name(F.col("dst")).alias("dst"))
+    b = truth.select("item", "type", "j", _name(F.col("src")).alias("true_src"), _name(F.col("dst")).alias("true_dst"))
+    ok, alike, direction = _compared(mode, F.col("src"), F.col("dst"), F.col("true_src"), F.col("true_dst"), threshold)
+    found = written(a.join(b, ["item", "type"]).where(ok).select("item", "i", "j", "type", F.round(alike, 9).alias("similarity"), direction.alias("direction")))
     return greedy_matching(found, "item").join(found.select("item", "i", "j", "type", "direction"), ["item", "i", "j"])
 
 

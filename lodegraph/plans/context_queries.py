@@ -11,7 +11,7 @@ from lodegraph.operators import relation_eval as R
 from lodegraph.operators.ranking import best_of
 from lodegraph.plans.registry import query
 from lodegraph.plans.views import EDGES, VERTICES, edges, vertices
-from lodegraph.sources.tables import scratch_path, table
+from lodegraph.sources.tables import scratch_path, table, written
 
 # a nation is a query: its suppliers and customers are its entities, documents are dealt to nations by their id
 _PEOPLE = "pe AS (SELECT s_nationkey AS query, s_name AS name, 'supplier' AS type, NULL AS description, round(greatest(s_acctbal, 0) / 10000, 4) AS importance FROM supplier UNION ALL SELECT c_nationkey, c_name, 'customer', c_mktsegment, round(greatest(c_acctbal, 0) / 10000, 4) FROM customer)"
@@ -50,7 +50,7 @@ def _relations(spark, sf_dir):
 
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.concat(F.lit("Part "), "l_partkey").alias("p"), F.concat(F.lit("Firm "), "l_suppkey").alias("s"), F.col("l_returnflag").alias("type")).distinct()
     j = F.col("item") * 1000 + F.row_number().over(Window.partitionBy("item").orderBy("p", "s", "type"))
-    t = l.select("item", F.col("p").alias("src"), F.col("s").alias("dst"), "type", j.alias("j"))
+    t = written(l.select("item", F.col("p").alias("src"), F.col("s").alias("dst"), "type", j.alias("j")))
     turned = F.col("j") % 5 == 0
     x = t.where(F.col("j") % 3 > 0).select("item", F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), F.when(F.col("j") % 7 == 0, "Z").otherwise(F.col("type")).alias("type"), F.col("j").alias("i"))
     return x, t
