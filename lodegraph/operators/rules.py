@@ -51,7 +51,10 @@ def broken(events: DataFrame, rules: tuple[Rule, ...], user: str, kind: str, ts:
             seen = sliding_counts(own.select(user, ts), [user], ts, rule.seconds)
         else:
             frame = Window.partitionBy(user).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-rule.seconds * 1_000_000 + 1, 0)
-            seen = own.withColumn("in_window", F.sum(rule.amount).over(frame))
+            # added as decimals, so that a sum that is just the threshold reaches it in any order; doubles for what no decimal holds
+            exact = F.col(rule.amount).try_cast("decimal(28,10)")
+            loose = F.count_if(F.col(rule.amount).isNotNull() & exact.isNull()).over(frame) > 0
+            seen = own.withColumn("in_window", F.when(loose, F.sum(rule.amount).over(frame)).otherwise(F.sum(exact).over(frame).cast("double")))
         found.append(seen.groupBy(user).agg(F.max(F.col("in_window").cast("double")).alias("most"), F.count_if(F.col("in_window") >= rule.threshold).alias("alerts")).withColumn("rule", F.lit(rule.name)))
     return reduce(DataFrame.unionByName, found).select(user, "rule", "most", "alerts")
 
