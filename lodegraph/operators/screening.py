@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -153,15 +154,31 @@ ACTIONS = ("allow", "warn", "warn", "block", "block")
 _HIDDEN = "[\u200b-\u200d\ufeff\u2060-\u2064]"
 
 
-def families(text: Column) -> Column:
-    """Names of the families that a text shows, in their order; none for null."""
-    return F.filter(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(n)) for n, (_, patterns) in ATTACKS.items()]), lambda x: x.isNotNull())
+def _needed(pattern: str) -> str:
+    """The longest run of letters, in lower case, that every match of pattern holds outside of its groups."""
+    runs = [""]
+    for kind, value in re._parser.parse(pattern):
+        runs = [*runs[:-1], runs[-1] + chr(value)] if kind is re._constants.LITERAL else [*runs, ""]
+    return max(runs, key=len).lower()
 
 
-def suspicion(text: Column) -> Column:
-    """The sum of the hints' weights, 1 at most; many brackets or code fences count up to twice."""
+def _matches(text: Column, low: Column, pattern: str) -> Column:
+    """Whether pattern is in text in either case: texts whose lower case doesn't hold what it needs aren't searched for it."""
+    return low.contains(F.lit(_needed(pattern))) & text.rlike(f"(?i){pattern}")
+
+
+def families(text: Column, low: Column | None = None) -> Column:
+    """Names of the families that a text shows, in their order; none for null. low is the text in lower case, if there is a column of it."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text) if low is None else low
+    return F.filter(F.array(*[F.when(reduce(Column.__or__, [_matches(text, low, p) for p in patterns]), F.lit(n)) for n, (_, patterns) in ATTACKS.items()]), lambda x: x.isNotNull())
+
+
+def suspicion(text: Column, low: Column | None = None) -> Column:
+    """The sum of the hints' weights, 1 at most; many brackets or code fences count up to twice. low as in families."""
     text = F.coalesce(text, F.lit(""))
-    score = sum((F.when(text.rlike(f"(?i){p}"), w).otherwise(0.0) for p, w in HINTS), F.lit(0.0))
+    low = F.lower(text) if low is None else low
+    score = sum((F.when(_matches(text, low, p), w).otherwise(0.0) for p, w in HINTS), F.lit(0.0))
     for p, w, least in COUNTED:
         n = F.regexp_count(text, F.lit(p))
         score = score + F.when(n >= least, F.lit(w) * F.least(n / least, F.lit(2.0))).otherwise(0.0)
@@ -171,12 +188,16 @@ def suspicion(text: Column) -> Column:
 def structure(text: Column) -> Column:
     """What is odd about a text's shape: array of long, repetitive, hidden, encoded."""
     text = F.coalesce(text, F.lit(""))
-    words = F.split(text, "\\s+")
-    runs = F.aggregate(
-        F.array_sort(words), F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most")),
-        lambda s, w: F.struct(w.alias("w"), F.when(s["w"] == w, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["most"], F.when(s["w"] == w, s["n"] + 1).otherwise(1)).alias("most")), lambda s: s["most"],
-    )
-    often = F.when(F.size(words) > 50, (runs > 50) & (runs > F.size(words) * 0.2)).otherwise(False)
+    def repeats(words: Column) -> Column:
+        """Whether a word stands more than 50 times and is over a fifth of all: in sorted words it then holds one of five places."""
+        n = F.size(words)
+        least = F.greatest(F.lit(51), (F.floor(n * 0.2) + 1).cast("int"))
+        run = lambda s, w: F.get(s, (F.array_position(s, w) - 2).cast("int") + least) == w
+        # arrays of one array bind what is sorted, so that it is sorted once
+        held = lambda s: F.exists(F.array(*[F.get(s, i * least - 1) for i in range(1, 6)]), lambda w: F.coalesce(run(s, w), F.lit(False)))
+        return F.when(n > 50, F.exists(F.array(F.sort_array(words)), held)).otherwise(False)
+
+    often = F.exists(F.array(F.split(text, "\\s+")), repeats)
     tests = {"long": F.length(text) > 10_000, "repetitive": often, "hidden": text.rlike(_HIDDEN), "encoded": text.rlike("[A-Za-z0-9+/]{50,}={0,2}")}
     return F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
 
@@ -200,7 +221,8 @@ def action(level: Column) -> Column:
 
 def analysed(rows: DataFrame, text: str) -> DataFrame:
     """rows with families, suspicion, odd and level of each text."""
-    seen = rows.withColumns({"families": families(F.col(text)), "suspicion": suspicion(F.col(text)), "odd": structure(F.col(text))})
+    rows = rows.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    seen = rows.withColumns({"families": families(F.col(text), F.col("_low")), "suspicion": suspicion(F.col(text), F.col("_low")), "odd": structure(F.col(text))}).drop("_low")
     return seen.withColumn("level", F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(severity(F.col("families"), F.col("suspicion"), F.col("odd"))))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodegraph.operators import retrieval as T
+from lodegraph.operators import screening as S
 
 
 def crossed(spark, action):
@@ -34,3 +35,16 @@ def test_repeated_and_null_items_are_summed(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "c"]), (None, ["a"]), (2, ["b"])], "item long, words array<string>")
     got = T.bm25(docs, spark.createDataFrame([(1, ["a"])], "query long, words array<string>"), 5).collect()
     assert {x.item for x in got} == {1, None} and len(got) == 2
+
+
+def test_words_that_repeat_are_found_without_comparing_in_lambdas(spark):
+    cases = ["a " * 51 + "b " * 10, "a " * 50 + "b", "a " * 51 + " ".join(f"w{i}" for i in range(203)), "a " * 51 + " ".join(f"w{i}" for i in range(204)), " " + "x " * 60, "m " * 60 + "k " * 60 + "z " * 60 + "b " * 60 + "c " * 60, "", "one"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    found = S.analysed(rows, "text")
+    for x in found.collect():
+        words = __import__("re").split(r"\s+", x.text)
+        most = max(words.count(w) for w in words)
+        assert ("repetitive" in x.odd) == (len(words) > 50 and most > 50 and most > len(words) * 0.2), x.id
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "_low" in plan
+    assert all(S._needed(p) for _, patterns in S.ATTACKS.values() for p in patterns) and S._needed(r"a?bc\s+(?:longer)?De{2}") == "bc"
