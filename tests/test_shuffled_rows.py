@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodegraph.operators import resolution as R
 from lodegraph.operators import retrieval as T
 from lodegraph.operators import screening as S
 
@@ -37,6 +38,19 @@ def test_repeated_and_null_items_are_summed(spark):
     assert {x.item for x in got} == {1, None} and len(got) == 2
 
 
+def test_near_pairs_form_no_candidate_rows(spark):
+    r = np.random.default_rng(2)
+    v = r.standard_normal((600, 12))
+    v[300:] = v[:300] + 0.5 * r.standard_normal((300, 12))
+    rows = [(i, [float(x) for x in v[i]], i % 3) for i in range(600)] + [(600, [0.0] * 12, 1), (601, None, 1), (602, [1.0], 2), (603, [2.0], 1)]
+    some = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, crossing = crossed(spark, lambda: {(x.a, x.b): x.similarity for x in R.near_pairs(some, 0.6, 2, 60, group="label").collect()})
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.6, 1)), strict=True) if a % 3 != b % 3} | {(602, 603)}
+    assert set(got) == want and len(want) > 200 and all(abs(got[a, b] - u[a] @ u[b]) < 1e-12 for a, b in want if a < 600)
+    assert crossing < 5_000  # by buckets some 200,000
+
+
 def test_words_that_repeat_are_found_without_comparing_in_lambdas(spark):
     cases = ["a " * 51 + "b " * 10, "a " * 50 + "b", "a " * 51 + " ".join(f"w{i}" for i in range(203)), "a " * 51 + " ".join(f"w{i}" for i in range(204)), " " + "x " * 60, "m " * 60 + "k " * 60 + "z " * 60 + "b " * 60 + "c " * 60, "", "one"]
     rows = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
