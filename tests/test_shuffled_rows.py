@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodegraph.operators import graph as G
 from lodegraph.operators import resolution as R
 from lodegraph.operators import retrieval as T
 from lodegraph.operators import screening as S
@@ -51,6 +52,15 @@ def test_near_pairs_form_no_candidate_rows(spark):
     assert crossing < 5_000  # by buckets some 200,000
 
 
+def test_sources_share_rows(spark):
+    r = np.random.default_rng(3)
+    v = spark.createDataFrame([(f"v{i}",) for i in range(300)], "id string")
+    e = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in r.integers(0, 280, (700, 2))], "src string, dst string")
+    sources = v.where("id < 'v3'").limit(40)
+    _, rows = crossed(spark, lambda: G.betweenness(v, e, sources).collect())
+    assert rows < 60_000  # with a row for each source some 100,000 and more
+
+
 def test_words_that_repeat_are_found_without_comparing_in_lambdas(spark):
     cases = ["a " * 51 + "b " * 10, "a " * 50 + "b", "a " * 51 + " ".join(f"w{i}" for i in range(203)), "a " * 51 + " ".join(f"w{i}" for i in range(204)), " " + "x " * 60, "m " * 60 + "k " * 60 + "z " * 60 + "b " * 60 + "c " * 60, "", "one"]
     rows = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
