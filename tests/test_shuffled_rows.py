@@ -61,6 +61,22 @@ def test_sources_share_rows(spark):
     assert rows < 60_000  # with a row for each source some 100,000 and more
 
 
+def test_parallel_edges_vote_in_one_row(spark):
+    r = np.random.default_rng(4)
+    v = spark.createDataFrame([(int(i),) for i in range(40)], "id long")
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 40, (60, 2))]
+    e = spark.createDataFrame(pairs * 20, "src long, dst long").repartition(16)
+    got = {x.id: x.community for x in G.label_propagation(v, e, 4).collect()}
+    labels = {i: i for i in range(40)}
+    for _ in range(4):
+        fresh = dict(labels)
+        for i in labels:
+            votes = [labels[b] for a, b in pairs + [(y, x) for x, y in pairs] if a == i and b != i]
+            fresh[i] = min(votes, key=lambda c: (-votes.count(c), c)) if votes else labels[i]
+        labels = fresh
+    assert got == labels
+
+
 def test_words_that_repeat_are_found_without_comparing_in_lambdas(spark):
     cases = ["a " * 51 + "b " * 10, "a " * 50 + "b", "a " * 51 + " ".join(f"w{i}" for i in range(203)), "a " * 51 + " ".join(f"w{i}" for i in range(204)), " " + "x " * 60, "m " * 60 + "k " * 60 + "z " * 60 + "b " * 60 + "c " * 60, "", "one"]
     rows = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
