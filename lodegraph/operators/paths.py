@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.graph import HUB
 from lodegraph.operators.ranking import best_of
 from lodegraph.sources.tables import written
 
@@ -50,10 +51,16 @@ def parts(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def neighbours(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(id, way, neighbour, type, confidence, place): of every vertex, the most surest edges out and in."""
+    """(id, way, neighbour, type, confidence, place): of every vertex, the most surest edges out and in.
+
+    Edge ends are shuffled once, by vertex; those of the few vertices with over HUB edges one way are dealt to many tasks first.
+    """
     ends = F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("way"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("way"), F.col("src").alias("neighbour")))
-    once = edges.select(F.explode(ends).alias("x"), "type", "confidence").select("x.*", "type", "confidence").groupBy("id", "way", "neighbour", "type").agg(F.max("confidence").alias("confidence"))
-    return best_of(once, ["id", "way"], most, [F.desc("confidence"), F.col("neighbour"), F.col("type")], F.struct("neighbour", "type"))
+    rows, group, order = edges.select(F.explode(ends).alias("x"), "type", "confidence").select("x.*", "type", "confidence"), ["id", "way"], [F.desc("confidence"), F.col("neighbour"), F.col("type")]
+    hubs = F.broadcast(written(rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > HUB).select(*group)))
+    once = lambda some: some.groupBy(*group, "neighbour", "type").agg(F.max("confidence").alias("confidence"))
+    rest = once(rows.join(hubs, group, "left_anti").repartition(*group)).withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= most)
+    return rest.unionByName(best_of(once(rows.join(hubs, group, "left_semi")), group, most, order, F.struct("neighbour", "type")))
 
 
 def expanded(edges: DataFrame, importance: DataFrame, seeds: DataFrame, most: int = 10, depth: int = 2, weights: dict[str, float] | None = None) -> DataFrame:
