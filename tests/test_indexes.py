@@ -159,3 +159,14 @@ def test_near_pairs_in_blocks_are_the_same(spark, clustered, monkeypatch):
     want = {(r.a, r.b) for r in resolution.near_pairs(some, 0.6, 3, 8, group="label").collect()}
     monkeypatch.setattr(resolution, "BUCKET", 20)
     assert {(r.a, r.b) for r in resolution.near_pairs(some, 0.6, 3, 8, group="label").collect()} == want and len(want) > 100
+
+
+def test_documents_are_shuffled_once_for_the_text_index(spark, tmp_path):
+    from test_shuffled_rows import crossed
+
+    r = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in r.integers(0, 90, 40)]) for i in range(400)], "item long, words array<string>")
+    index, rows = crossed(spark, lambda: text_index.build(docs, str(tmp_path / "index"), block=20))
+    assert index.n == 400 and index.mean == 40
+    assert index.table("postings").selectExpr("sum(size(found)) AS n").first().n == docs.selectExpr("sum(size(array_distinct(words))) AS n").first().n
+    assert rows < 4_000  # documents and terms; with a row for each document and term some 28,000
