@@ -1,6 +1,9 @@
 """Components of graphs with hubs, whose rows are not joined by node."""
 
+import os
+
 import numpy as np
+import pytest
 
 from lodegraph.operators import components as K
 
@@ -36,3 +39,20 @@ def test_rows_of_hubs_stay_where_they_are(spark, monkeypatch):
     got = K._with_least(rows, True)
     assert sorted((x.u, x.v, x.m) for x in got.collect()) == sorted([(0, i, 0) for i in range(1, 50)] + [(1, 0, 0)])
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_tables_of_a_round_are_deleted(spark, monkeypatch, hubs):
+    """Of all tables that rounds write, those that the result reads remain."""
+    write, folders = K.written, set()
+
+    def noted(frame, *rest):
+        out = write(frame, *rest)
+        folders.update(f.rpartition("/")[0].removeprefix("file:").replace("///", "/") for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(K, "written", noted)
+    links = [(i, i + 1) for i in range(60) if i != 30] + [(70, 70)]
+    got = {tuple(x) for x in K.connected_components(spark.createDataFrame(links, "a long, b long"), hubs=hubs).collect()}
+    assert got == {(i, 0 if i <= 30 else 31) for i in range(61)} | {(70, 70)}
+    assert len(folders) > 6 and sum(map(os.path.isdir, folders)) <= 2
